@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, near_dup, pieces, quality, secrets, token_files
-from .common import doc_bucket
+from . import embed_dedup, html_text, language, near_dup, pieces, quality, secrets, token_files, token_ledger
+from .common import doc_bucket, fresh_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,10 +32,39 @@ def op3_language_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (doc_bucket("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op4_html_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op7_embedding_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op8_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four batches: all documents by either tokenizer; toxic ones revised to their text without digits; bad ones deleted; the last is sent twice."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    labels = table(spark, sf_dir, "labels")
+    toxic = labels.where("toxic = 1").select("doc_id").distinct()
+    bad = labels.where("quality = 0").select("doc_id").distinct()
+    ledger = token_ledger.TokenLedger(spark, fresh_folder(spark, "token-ledger"))
+
+    def puts(rows: DataFrame, tokenizer: str, text) -> DataFrame:
+        return rows.select(F.lit("put").alias("op"), "doc_id", "source", "lang", F.lit(tokenizer).alias("tokenizer"), token_ledger.counted(text, tokenizer).alias("tokens"))
+
+    text = F.col("text")
+    ledger.apply("words-1", puts(docs, "words/1", text))
+    ledger.apply("words-2", puts(docs, "words/2", text))
+    ledger.apply("toxic", puts(docs.join(toxic, "doc_id", "left_semi"), "words/1", F.regexp_replace(text, "[0-9]+", " ")))
+    gone = bad.select(F.lit("delete").alias("op"), "doc_id", F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("lang"), F.explode(F.array(F.lit("words/1"), F.lit("words/2"))).alias("tokenizer"), F.lit(None).cast("long").alias("tokens"))
+    ledger.apply("bad", gone)
+    ledger.apply("bad", gone)
+    return ledger.totals()
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -48,9 +77,26 @@ QUERIES = {
     "op1_quality_neighbours": op1_quality_neighbours,
     "op2_token_files": op2_token_files,
     "op3_language_kernel": op3_language_kernel,
+    "op4_html_density": op4_html_density,
     "op6_sentencepiece": op6_sentencepiece,
+    "op7_embedding_cells": op7_embedding_cells,
+    "op8_token_rollups": op8_token_rollups,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_secret_scan": op10_secret_scan,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_OP8 = r"""
+WITH toxic AS (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1),
+bad AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 0),
+live AS (SELECT * FROM documents WHERE doc_id IS NOT NULL AND doc_id NOT IN (SELECT doc_id FROM bad WHERE doc_id IS NOT NULL)),
+counted AS (
+  SELECT source, lang, 'words/1' AS tokenizer,
+         len(regexp_extract_all(CASE WHEN doc_id IN (SELECT doc_id FROM toxic) THEN regexp_replace(coalesce(text, ''), '[0-9]+', ' ', 'g') ELSE coalesce(text, '') END, '[^\x20\x09-\x0D]+')) AS tokens
+  FROM live
+  UNION ALL
+  SELECT source, lang, 'words/2', len(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}]+')) FROM live)
+SELECT source, lang, tokenizer, count(*)::BIGINT AS docs, sum(tokens)::BIGINT AS tokens FROM counted GROUP BY ALL"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op8_token_rollups": _OP8,
+}
