@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embed_dedup, html_text, language, near_dup, pieces, quality, secrets, token_files, token_ledger
+from . import decontaminate, embed_dedup, html_text, language, near_dup, pieces, quality, secrets, token_files, token_ledger
 from .common import doc_bucket, fresh_folder
 
 
@@ -36,6 +36,10 @@ def op4_html_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op5_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -78,6 +82,7 @@ QUERIES = {
     "op2_token_files": op2_token_files,
     "op3_language_kernel": op3_language_kernel,
     "op4_html_density": op4_html_density,
+    "op5_latent_decontamination": op5_latent_decontamination,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_embedding_cells": op7_embedding_cells,
     "op8_token_rollups": op8_token_rollups,
