@@ -35,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import slices, text_of
 from .textkernels import mix, word_hashes, word_spans
@@ -357,16 +358,13 @@ def _finder(held, pass_bytes: int):
     return run
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, config: DecontaminationConfig | None = None, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """``doc_id, item_id, share, cosine, answer_found, first_word`` of each document that leaks an item."""
-    config = config or DecontaminationConfig()
-    spark = docs.sparkSession
+def _searches(docs: DataFrame, benchmark: DataFrame, config: DecontaminationConfig, text_col: str, item_col: str, item_text_col: str) -> Iterator[Search]:
+    """A search for each slice of the benchmark's items, with statistics of all ``docs``."""
     listed = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text_col).alias("t")).limit(MOST_ITEMS + 1).collect()
     if len(listed) > MOST_ITEMS:
         raise ValueError(f"the benchmark has more than {MOST_ITEMS} items")
     every = prepare_items(sorted(((r["i"], r["t"]) for r in listed), key=repr))
-    texts = text_of(docs, F.col(id_col).cast("long").alias("doc_id"), text=text_col)
-    out = None
+    texts = text_of(docs, text=text_col)
     for a in range(0, len(every.ids), config.slice_items):
         items = Items(every.ids[a : a + config.slice_items], every.words[a : a + config.slice_items], every.answers[a : a + config.slice_items])
         hashes, holders = np.unique(np.concatenate([np.unique(w) for w in items.words]), return_counts=True)
@@ -378,7 +376,36 @@ def leaks(docs: DataFrame, benchmark: DataFrame, config: DecontaminationConfig |
             if weightless[own].all():
                 weightless[own] = False
         weight, space = latent_space(texts, terms, weightless, config)
-        held = spark.sparkContext.broadcast(Search(items, terms, weight, space, config))
-        part = texts.mapInArrow(_finder(held, config.pass_bytes), _LEAKS)
+        yield Search(items, terms, weight, space, config)
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, config: DecontaminationConfig | None = None, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """``doc_id, item_id, share, cosine, answer_found, first_word`` of each document that leaks an item."""
+    config = config or DecontaminationConfig()
+    texts = text_of(docs, F.col(id_col).cast("long").alias("doc_id"), text=text_col)
+    out = None
+    for search in _searches(docs, benchmark, config, text_col, item_col, item_text_col):
+        part = texts.mapInArrow(_finder(docs.sparkSession.sparkContext.broadcast(search), config.pass_bytes), _LEAKS)
         out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], _LEAKS)
+    return out if out is not None else docs.sparkSession.createDataFrame([], _LEAKS)
+
+
+def _cleaner(held, pass_bytes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search = held.value
+        for rows, data, offsets in slices(batches, limit=pass_bytes):
+            bad = {found[0] for found in search.in_texts(data, offsets)}
+            yield rows.select(["row"]).take(pa.array([k for k in range(rows.num_rows) if k not in bad], pa.int64()))
+
+    return run
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, config: DecontaminationConfig | None = None, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that leak no item, all columns as they are; nothing is joined or moved."""
+    config = config or DecontaminationConfig()
+    out = docs
+    for search in _searches(docs, benchmark, config, text_col, item_col, item_text_col):
+        packed = out.select(F.struct("*").alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+        cleaner = _cleaner(docs.sparkSession.sparkContext.broadcast(search), config.pass_bytes)
+        out = packed.mapInArrow(cleaner, T.StructType([T.StructField("row", docs.schema)])).select("row.*")
+    return out

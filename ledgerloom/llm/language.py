@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import slices, text_of
 
@@ -197,3 +198,31 @@ def predict(docs: DataFrame, model: LanguageModel | None, config: LanguageConfig
         return _predictor(held.value, config.batch)(batches)
 
     return texts.mapInArrow(run, "doc_id long, lang_pred string, score double")
+
+
+def _keeper(model: LanguageModel | None, least: float, batch: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, offsets in slices(batches):
+            lettered = rows.column(1).to_pylist()
+            at = [k for k, x in enumerate(lettered) if x and model is not None]
+            good = []
+            for a in range(0, len(at), batch):
+                some = at[a : a + batch]
+                best = model.scores([grams(data[offsets[k] : offsets[k + 1]], model.codes) for k in some]).max(axis=1)
+                good += [k for k, s in zip(some, best.tolist()) if (s + 1) / 2 >= least]
+            yield rows.select(["row"]).take(pa.array(good, pa.int64()))
+
+    return run
+
+
+def keep_known(docs: DataFrame, model: LanguageModel | None, least: float, config: LanguageConfig | None = None, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose language is known with a score of ``least`` or more, all columns as they are."""
+    config = config or LanguageConfig()
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    lettered = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("lettered")
+    packed = docs.select(F.struct("*").alias("row"), lettered, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _keeper(held.value, least, config.batch)(batches)
+
+    return packed.mapInArrow(run, T.StructType([T.StructField("row", docs.schema)])).select("row.*")

@@ -94,17 +94,21 @@ def _suspicious(x: Column) -> Column:
     return ~token.rlike(ALLOW) & (window_entropy(token) >= limit)
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """``doc_id``, the columns ``keep`` and ``found``: all spans (s, k, e) by start, then kind as in ``KINDS``."""
+def _found(frame: DataFrame, kept: list[str]) -> DataFrame:
+    """``kept`` columns and ``found`` of a frame that has ``text`` without nulls."""
     text = F.col("text")
-    raw = text_of(docs, F.col(id_col).alias("doc_id"), *keep, text=text_col)
-    some = raw.withColumn("assign", _at(text, ASSIGN)).withColumn("access", _at(text, ACCESS)).withColumn("hex", _at(text, HEX)).withColumn("high", _at(text, CANDIDATE))
+    some = frame.withColumn("assign", _at(text, ASSIGN)).withColumn("access", _at(text, ACCESS)).withColumn("hex", _at(text, HEX)).withColumn("high", _at(text, CANDIDATE))
     assign = _spans(F.col("assign"), "assign", lambda x: F.char_length(F.regexp_extract(x["m"], ASSIGN, 2)) >= 12)
     access = _spans(F.col("access"), "access", lambda x: F.char_length(x["m"]) >= 18)
     hexed = _spans(F.col("hex"), "hex", lambda x: F.char_length(x["m"]) >= 16)
-    based = some.select("doc_id", *keep, F.concat(assign, access, hexed).alias("base"), "high")
+    based = some.select(*kept, F.concat(assign, access, hexed).alias("base"), "high")
     fresh = _spans(F.col("high"), "entropy", lambda x: ~F.exists(F.col("base"), lambda b: (b["s"] <= x["s"]) & (b["e"] >= x["e"])) & _suspicious(x))
-    return based.select("doc_id", *keep, F.sort_array(F.concat("base", fresh)).alias("found"))
+    return based.select(*kept, F.sort_array(F.concat("base", fresh)).alias("found"))
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id`` and ``found``: all spans (s, k, e) by start, then kind as in ``KINDS``."""
+    return _found(text_of(docs, F.col(id_col).alias("doc_id"), text=text_col), ["doc_id"])
 
 
 def joined(found: Column) -> Column:
@@ -135,3 +139,19 @@ def redacted(text: Column, found: Column, mark: str = "[SECRET]") -> Column:
 
     tail = F.aggregate(found, seed, step, lambda state: F.concat(state["out"], F.substring(text, state["at"] + 1, F.char_length(text))))
     return F.when(F.size(found) > 0, tail).otherwise(text)
+
+
+def redact(docs: DataFrame, text_col: str = "text", count_col: str = "n_chars") -> DataFrame:
+    """All rows and columns of ``docs``, with secrets replaced in the text and ``count_col``, if there is one, that of the new text."""
+    packed = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    clean = _found(packed, ["row", "text"]).withColumn("clean", redacted(F.col("text"), F.col("found")))
+    changed = F.size("found") > 0
+    columns = []
+    for field in docs.schema:
+        value = F.col("row")[field.name]
+        if field.name == text_col:
+            value = F.when(changed, F.col("clean")).otherwise(value)
+        elif field.name == count_col:
+            value = F.when(changed, F.char_length("clean").cast(field.dataType)).otherwise(value)
+        columns.append(value.alias(field.name))
+    return clean.select(*columns)
