@@ -62,7 +62,9 @@ def op8_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text")
     ledger.apply("words-1", puts(docs, "words/1", text))
     ledger.apply("words-2", puts(docs, "words/2", text))
-    ledger.apply("toxic", puts(docs.join(toxic, "doc_id", "left_semi"), "words/1", F.regexp_replace(text, "[0-9]+", " ")))
+    # counted before the join, so that the join moves counts and not texts
+    revised = puts(docs, "words/1", F.regexp_replace(text, "[0-9]+", " "))
+    ledger.apply("toxic", revised.join(toxic, "doc_id"))
     gone = bad.select(F.lit("delete").alias("op"), "doc_id", F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("lang"), F.explode(F.array(F.lit("words/1"), F.lit("words/2"))).alias("tokenizer"), F.lit(None).cast("long").alias("tokens"))
     ledger.apply("bad", gone)
     ledger.apply("bad", gone)
