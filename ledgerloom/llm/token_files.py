@@ -27,6 +27,7 @@ no rows; columns other than id and text are ignored.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -191,16 +192,23 @@ class ShardReader:
 # ------------------------------------------------------------------ encoding
 
 
-class WordEncoder:
-    """Ids of whole texts by the tokenizers library, with the pieces between spaces encoded once.
+#: Letters of Latin-1 in lower case, and the white space there that the tokenizer drops.
+_LETTERS, _BLANKS = "a-zß-öø-ÿªµº", " \\t\\n\\x0b\\x0c\\r\\x85\\xa0"
+_RUNS = re.compile(f"[{_LETTERS}]+|[^{_LETTERS}{_BLANKS}]+")
+
 
-    The tokenizer drops white space and never joins across it, so that a text's
-    ids are those of its space-separated pieces in turn.  Pieces that
-    aren't known yet are encoded together, with a special token between them.
-    At ``limit`` pieces the store starts anew.
+class WordEncoder:
+    """Ids of whole texts by the tokenizers library, with repeated pieces encoded once.
+
+    The tokenizer lowers all letters, drops white space and splits between letters and
+    what isn't a letter before it merges anything, so that a text's ids are those of such pieces in
+    turn.  In texts of Latin-1 without apostrophes (which can join what
+    follows) the pieces are runs of letters and of other signs; in other texts they are what stands between spaces.
+    Pieces that aren't known yet are encoded together, with a special token between
+    them.  At ``limit`` pieces the store starts anew.
     """
 
-    def __init__(self, path: str, limit: int = 250_000):
+    def __init__(self, path: str, limit: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -211,6 +219,16 @@ class WordEncoder:
         self.mark, self.mark_id = next(iter(special.items()))
         self.specials = tuple(special)
 
+    def pieces(self, text: str) -> list[str]:
+        if "'" not in text and not any(s in text for s in self.specials):
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                pass
+            else:
+                return _RUNS.findall(text.lower())
+        return text.replace("\n", " ").split(" ")
+
     def _plain(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
@@ -233,7 +251,7 @@ class WordEncoder:
                 a = b + 1
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
+        split = [self.pieces(t) for t in texts]
         new = set().union(*split).difference(self.known.keys())
         if new:
             if len(self.known) + len(new) > self.limit:
