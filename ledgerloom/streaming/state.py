@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -14,6 +16,10 @@ STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreP
 _COLUMNS = ["topic", "partition_id", "offset_value", "account_number", "amount", "reason", "resulting_balance"]
 
 
+# Spark runs the processor in a process of the driver that has no files that were added to the session.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 class BalanceProcessor(StatefulProcessor):
     """Adds up an account's amounts; rows at or below the last offset of their log partition are replays and drop out."""
 
