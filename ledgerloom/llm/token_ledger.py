@@ -34,6 +34,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..streaming.exclusive import create_once
+
 _DELTA = "source string, lang string, tokenizer string, docs long, tokens long"
 _COUNT = "doc_id long, tokenizer string, source string, lang string, tokens long, live boolean, batch long"
 
@@ -59,6 +61,8 @@ class TokenLedger:
             return []
         found = []
         for status in self._store.listStatus(top):
+            if status.getPath().getName().startswith("."):
+                continue
             stream = self._store.open(status.getPath())
             text = self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
             stream.close()
@@ -66,14 +70,6 @@ class TokenLedger:
                 found.append(json.loads(text))
         return sorted(found, key=lambda c: c["number"])
 
-    def _commit(self, entry: dict) -> None:
-        path = self._path(f"{self.folder}/commits/{entry['batch']}.json")
-        out = self._store.create(path, False)  # fails if it is there
-        try:
-            out.write(bytearray((json.dumps(entry) + "\n").encode()))
-        finally:
-            out.close()
-
     def _read(self, kind: str, schema: str) -> DataFrame:
         paths = [f"{self.folder}/{kind}/{c['files']}" for c in self.commits()]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
@@ -110,8 +106,8 @@ class TokenLedger:
         minus = written.where("old is not null").select("old.source", "old.lang", "tokenizer", F.lit(-1).alias("docs"), (-F.col("old.tokens")).alias("tokens"))
         signed = plus.unionByName(minus).groupBy("source", "lang", "tokenizer").agg(F.sum("docs").cast("long").alias("docs"), F.sum("tokens").cast("long").alias("tokens"))
         signed.write.parquet(f"{self.folder}/deltas/{name}")
-        self._commit({"batch": batch, "number": number, "files": name})
-        return True
+        entry = {"batch": batch, "number": number, "files": name}
+        return create_once(self.spark, f"{self.folder}/commits/{batch}.json", json.dumps(entry) + "\n")
 
     def totals(self) -> DataFrame:
         """``source, lang, tokenizer, docs, tokens``."""
