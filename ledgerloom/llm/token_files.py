@@ -26,6 +26,7 @@ no rows; columns other than id and text are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -194,6 +195,7 @@ class ShardReader:
 
 #: Letters of Latin-1 in lower case, and the white space there that the tokenizer drops.
 _LETTERS, _BLANKS = "a-zß-öø-ÿªµº", " \\t\\n\\x0b\\x0c\\r\\x85\\xa0"
+_WORD = re.compile(f"[{_LETTERS}]+")
 _RUNS = re.compile(f"[{_LETTERS}]+|[^{_LETTERS}{_BLANKS}]+")
 
 
@@ -205,14 +207,24 @@ class WordEncoder:
     turn.  In texts of Latin-1 without apostrophes (which can join what
     follows) the pieces are runs of letters and of other signs; in other texts they are what stands between spaces.
     Pieces that aren't known yet are encoded together, with a special token between
-    them.  At ``limit`` pieces the store starts anew.
+    them; runs of letters, which are most, go past the steps that don't change them,
+    and are told apart by the mark that a word's last token has.  At ``limit``
+    pieces the store starts anew.
     """
 
     def __init__(self, path: str, limit: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # the same merges for words that are lower-case letters already
+        self.words = Tokenizer.from_file(path)
+        self.words.normalizer = normalizers.Sequence([])
+        self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        if suffix:
+            self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
         self.limit = limit
         self.known: dict[str, bytes] = {"": b""}
         special = {t.content: k for k, t in self.tokenizer.get_added_tokens_decoder().items()}
@@ -239,6 +251,18 @@ class WordEncoder:
         if odd:
             drop = set(odd)
             pieces = [p for p in pieces if p not in drop]
+        if self.ends.any():
+            letters, pieces = [p for p in pieces if _WORD.fullmatch(p)], [p for p in pieces if not _WORD.fullmatch(p)]
+            for a in range(0, len(letters), 2000):
+                some = letters[a : a + 2000]
+                ids = np.array(self.words.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+                ends = np.flatnonzero(self.ends[ids]) + 1
+                if len(ends) != len(some):
+                    raise ValueError("words can't be told apart")
+                data, first = ids.tobytes(), 0
+                for p, last in zip(some, ends.tolist()):
+                    self.known[p] = data[4 * first : 4 * last]
+                    first = last
         for a in range(0, len(pieces), 2000):
             some = pieces[a : a + 2000]
             ids = np.array(self.tokenizer.encode_batch_fast([self.mark.join(some)], add_special_tokens=False)[0].ids, np.uint32)
