@@ -104,6 +104,67 @@ counted AS (
   SELECT source, lang, 'words/2', len(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}]+')) FROM live)
 SELECT source, lang, tokenizer, count(*)::BIGINT AS docs, sum(tokens)::BIGINT AS tokens FROM counted GROUP BY ALL"""
 
+_OP7 = """
+WITH RECURSIVE valid AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM valid a JOIN valid b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.95),
+reached AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reached r JOIN links l ON r.y = l.x),
+least AS (SELECT x, min(y) AS y FROM reached GROUP BY 1),
+counted AS (SELECT x, count(*) AS n FROM links GROUP BY 1),
+found AS (SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(y, vec_id)) AS component_id
+  FROM embeddings LEFT JOIN counted c ON vec_id = c.x LEFT JOIN least l ON vec_id = l.x)
+SELECT *, coalesce(vec_id = component_id, FALSE) AS kept FROM found"""
+
+_OP9 = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) >= 4 THEN list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM words),
+flat AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+links AS (SELECT a.doc_id AS x, b.doc_id AS y FROM flat a JOIN flat b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reached AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reached r JOIN links l ON r.y = l.x),
+least AS (SELECT x, min(y) AS y FROM reached GROUP BY 1),
+found AS (SELECT doc_id, len(s)::BIGINT AS n_shingles, least(doc_id, coalesce(y, doc_id)) AS component_id FROM sets LEFT JOIN least ON doc_id = x)
+SELECT *, coalesce(doc_id = component_id, FALSE) AS kept FROM found"""
+
+
+def _places(name: str, pattern: str, keep: str) -> str:
+    """SQL of the matches ``name`` of a pattern with their places (code points, end exclusive) where ``keep`` holds for match m."""
+    return f"""{name}_cut AS (SELECT doc_id, regexp_extract_all(t, {pattern}) AS m, string_split_regex(t, {pattern}) AS p FROM texts),
+{name} AS (SELECT doc_id, list_filter(list_transform(range(1, len(m) + 1), lambda i: {{'s': (list_sum(list_transform(p[1 : i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1 : i - 1], lambda x: length(x))), 0))::BIGINT, 'm': m[i]}}), lambda x: {keep.replace("$m", "x.m")}) AS f FROM {name}_cut)"""
+
+
+def _sql(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_ASSIGN = _sql(secrets.ASSIGN)
+_NAMED = " ".join(f"WHEN {k} THEN '{name}'" for k, name in enumerate(secrets.KINDS))
+_OP10 = f"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+{_places("assign", _ASSIGN, f"length(regexp_extract($m, {_ASSIGN}, 2)) >= 12")},
+{_places("access", _sql(secrets.ACCESS), "length($m) >= 18")},
+{_places("hex", "'[0-9a-f]{16,}'", "TRUE")},
+{_places("high", "'[A-Za-z0-9+/_=-]{20,}'", "regexp_matches($m, '[0-9]') AND regexp_matches($m, '[A-Za-z]') AND NOT regexp_matches($m, " + _sql(secrets.ALLOW) + ")")},
+based AS (
+  SELECT doc_id, high.f AS h, list_concat(
+    list_transform(assign.f, lambda x: {{'s': x.s, 'k': 0, 'e': x.s + length(x.m)}}),
+    list_transform(access.f, lambda x: {{'s': x.s, 'k': 1, 'e': x.s + length(x.m)}}),
+    list_transform(hex.f, lambda x: {{'s': x.s, 'k': 2, 'e': x.s + length(x.m)}})) AS b
+  FROM assign JOIN access USING (doc_id) JOIN hex USING (doc_id) JOIN high USING (doc_id)),
+judged AS (
+  SELECT doc_id, list_sort(b) AS b, list_sort(list_concat(b, list_transform(list_filter(h, lambda x: len(list_filter(b, lambda y: y.s <= x.s AND y.e >= x.s + length(x.m))) = 0
+    AND list_max(list_transform(range(1, length(x.m) - {secrets.WINDOW} + 2), lambda i: list_aggregate(string_split(substr(x.m, i, {secrets.WINDOW}), ''), 'entropy')))
+      >= CASE WHEN regexp_matches(x.m, '^(?:[0-9a-f]+|[0-9A-F]+)$') THEN {secrets.LIMITS["hex"]} ELSE {secrets.LIMITS["base64"]} END),
+    lambda x: {{'s': x.s, 'k': 3, 'e': x.s + length(x.m)}}))) AS a FROM based),
+joined AS (SELECT *, coalesce(array_to_string(list_transform(b, lambda x: (CASE x.k {_NAMED} END) || ':' || x.s || ':' || x.e), ','), '') AS jb,
+  coalesce(array_to_string(list_transform(a, lambda x: (CASE x.k {_NAMED} END) || ':' || x.s || ':' || x.e), ','), '') AS spans FROM judged)
+SELECT doc_id, len(list_filter(b, lambda x: x.k = 0))::BIGINT AS n_assign, len(list_filter(b, lambda x: x.k = 1))::BIGINT AS n_access, len(list_filter(b, lambda x: x.k = 2))::BIGINT AS n_hex,
+  sha256(jb) AS base_sha256, spans FROM joined"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op7_embedding_cells": _OP7,
     "op8_token_rollups": _OP8,
+    "op9_minhash_near_dedup": _OP9,
+    "op10_secret_scan": _OP10,
 }

@@ -88,7 +88,7 @@ class TokenLedger:
             return False
         number, name = len(done), uuid.uuid4().hex
         row = F.struct((F.col("op") == "put").alias("put"), F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens"))
-        rank = F.struct(~(F.col("row.put")), -F.col("row.tokens"), F.col("source"), F.col("lang"))
+        rank = F.struct(F.col("row.put"), -F.col("row.tokens"), F.col("source"), F.col("lang"))
         wanted = changes.where("doc_id is not null and tokenizer is not null and op in ('put', 'delete')").select(F.col("doc_id").cast("long").alias("doc_id"), "tokenizer", "source", "lang", row.alias("row"))
         one = wanted.groupBy("doc_id", "tokenizer").agg(F.min_by(F.struct("row", "source", "lang"), rank).alias("new"))
         if done:
