@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass works on; longer texts make a pass of their own.
 PASS_BYTES = 1 << 20
+#: Bytes of an Arrow batch between Spark and Python; a longer row makes a batch of its own.
+BATCH_BYTES = 8 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -45,6 +47,12 @@ def cut(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
+def bounded(frame: DataFrame) -> DataFrame:
+    """The frame; Arrow batches of its session are bounded by bytes, so that a batch of long texts stays small."""
+    frame.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return frame
+
+
 def doc_bucket(column: str, buckets: int):
     """crc32 of the id as text, modulo ``buckets``; null ids count as bucket 0."""
     return F.coalesce(F.crc32(F.col(column).cast("string")) % buckets, F.lit(0))
@@ -52,7 +60,12 @@ def doc_bucket(column: str, buckets: int):
 
 def text_of(frame: DataFrame, *keep: str, text: str = "text") -> DataFrame:
     """``keep`` and the text (null: empty), and no other column."""
-    return frame.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return bounded(frame).select(*keep, F.coalesce(F.col(text), F.lit("")).alias("text"))
+
+
+def packed(frame: DataFrame, *more, text: str = "text") -> DataFrame:
+    """Each row as a struct ``row`` of all its columns, then ``more`` and the text (null: empty)."""
+    return bounded(frame).select(F.struct("*").alias("row"), *more, F.coalesce(F.col(text), F.lit("")).alias("text"))
 
 
 def byte_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

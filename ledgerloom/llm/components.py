@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
+#: A graph of up to this many links (16 bytes each) is worked on in one task, without shuffles.
+TOGETHER = 1_000_000
+
 
 def _size(edges: DataFrame) -> tuple:
     got = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
@@ -19,7 +22,8 @@ def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
     Large-star and small-star rounds alternate: each node's neighbours are
     hung on the least of them until every component is a star.  A node's
     neighbours are never gathered: the least is a partial aggregate, and
-    hanging is a join with one row per node, whose hot keys Spark can split.
+    hanging is a join with one row per node, written first so that both sides are plain
+shuffles and Spark can split hot nodes.  Graphs of few links aren't spread at all.
     Null ends and self-links are ignored; repeated links count once.
     """
     spark = links.sparkSession
@@ -27,16 +31,22 @@ def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
     edges = cut(edges)
     before = _size(edges)
     while before[0]:
+        few = before[0] <= TOGETHER
+        if few:
+            edges = edges.coalesce(1)
         # large star: every neighbour above the node goes to the least of node and neighbours
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
+        if few:
+            both = both.coalesce(1)
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        above = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b"))
-        large = above.where("a < b").distinct()
+        above = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).join(least if few else cut(least), "u").select(F.col("m").alias("a"), F.col("v").alias("b"))
+        large = above.where("a < b")
         # small star: node and its lesser neighbours go to the least neighbour
         least = large.groupBy(F.col("b").alias("u")).agg(F.min("a").alias("m"))
+        least = least if few else cut(least)
         below = large.select(F.col("b").alias("u"), F.col("a").alias("v")).join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b"))
-        small = below.where("a < b").unionByName(least.select(F.col("m").alias("a"), F.col("u").alias("b"))).distinct()
-        edges = cut(small)
+        small = below.where("a < b").unionByName(least.select(F.col("m").alias("a"), F.col("u").alias("b")))
+        edges = cut((small.coalesce(1) if few else small).distinct())
         after = _size(edges)
         if after == before:
             break

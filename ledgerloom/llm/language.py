@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, text_of
+from .common import packed, slices, text_of
 
 CODES = 64
 _GRAMS = CODES + CODES**2 + CODES**3
@@ -220,9 +220,8 @@ def keep_known(docs: DataFrame, model: LanguageModel | None, least: float, confi
     config = config or LanguageConfig()
     held = docs.sparkSession.sparkContext.broadcast(model)
     lettered = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("lettered")
-    packed = docs.select(F.struct("*").alias("row"), lettered, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _keeper(held.value, least, config.batch)(batches)
 
-    return packed.mapInArrow(run, T.StructType([T.StructField("row", docs.schema)])).select("row.*")
+    return packed(docs, lettered, text=text_col).mapInArrow(run, T.StructType([T.StructField("row", docs.schema)])).select("row.*")

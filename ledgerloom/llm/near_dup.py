@@ -11,7 +11,9 @@ of copies in one place:
    the connected parts of these ties are *families*: no candidate pair
    crosses two families.
 3. Families are cut into blocks of bounded size and each task gets one pair of
-   blocks.  There batches of signature positions are compared one after
+   blocks.  A family of more than ``family_blocks`` blocks, such as common passages can chain together, is
+   compared within its buckets instead, each cut into blocks the same way, so that only candidates
+   meet.  There batches of signature positions are compared one after
    another; a pair is pruned once the posterior probability that it reaches the
    threshold falls below ``miss``.  Survivors are verified on their full
    sets, and a pair whose ends are already connected is not verified again.
@@ -56,6 +58,7 @@ class NearDupConfig:
     step: int = 16
     block_texts: int = 512
     block_shingles: int = 1_000_000
+    family_blocks: int = 24
 
     @property
     def size(self) -> int:
@@ -207,6 +210,19 @@ def signatures(docs: DataFrame, config: NearDupConfig, id_col: str = "doc_id", t
     return texts.mapInArrow(_signer(config), "doc_id long, n_shingles long, norm binary, sign binary")
 
 
+def _compared(sets: DataFrame, config: NearDupConfig) -> DataFrame:
+    """Links within each ``family`` of ``doc_id, family, blocks, hashes``, a pair of blocks to a group."""
+    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+    pairs = (
+        sets.withColumn("block", own)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("family", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "doc_id", "block", "hashes")
+        .repartition("family", "one", "two")
+        .sortWithinPartitions("family", "one", "two")
+    )
+    return pairs.mapInArrow(_linker(config), "a long, b long")
+
+
 def near_duplicate_links(docs: DataFrame, signed: DataFrame, config: NearDupConfig, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Links ``a, b`` that connect exactly what is linked: copies to their class, classes by verified pairs."""
     named = signed.where("norm is not null and doc_id is not null")
@@ -222,18 +238,18 @@ def near_duplicate_links(docs: DataFrame, signed: DataFrame, config: NearDupConf
     blocks = F.greatest(F.ceil(F.col("texts") / config.block_texts), F.ceil(F.col("all") / config.block_shingles)).cast("int")
     placed = cut(members.join(weight, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("family"), blocks.alias("blocks")))
     texts = text_of(docs, F.col(id_col).cast("long").alias("doc_id"), text=text_col)
-    few = placed.count() <= BROADCAST_ROWS
-    found = texts.join(F.broadcast(placed) if few else placed, "doc_id").select("doc_id", "family", "blocks", "text")
+    many, most = placed.agg(F.count(F.lit(1)), F.coalesce(F.max("blocks"), F.lit(0))).first()
+    found = texts.join(F.broadcast(placed) if many <= BROADCAST_ROWS else placed, "doc_id").select("doc_id", "family", "blocks", "text")
     sets = found.mapInArrow(_sets(config), "doc_id long, family long, blocks int, hashes binary")
-    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    pairs = (
-        sets.withColumn("block", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("family", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "doc_id", "block", "hashes")
-        .repartition("family", "one", "two")
-        .sortWithinPartitions("family", "one", "two")
-    )
-    links = pairs.mapInArrow(_linker(config), "a long, b long")
+    if most <= config.family_blocks:
+        links = _compared(sets, config)
+    else:
+        sets = cut(sets)
+        large = placed.where(F.col("blocks") > config.family_blocks).select("doc_id")
+        own = banded.join(large, "doc_id").join(classes.select("doc_id", "n_shingles"), "doc_id")
+        sizes = own.groupBy("bucket").agg(F.count(F.lit(1)).alias("texts"), F.sum("n_shingles").alias("all")).where("texts > 1").select("bucket", blocks.alias("blocks"))
+        place = own.join(sizes, "bucket").select("doc_id", F.col("bucket").alias("family"), "blocks")
+        links = _compared(sets.where(F.col("blocks") <= config.family_blocks), config).unionByName(_compared(sets.select("doc_id", "hashes").join(place, "doc_id"), config))
     copies = named.join(classes.select("norm", F.col("doc_id").alias("first")), "norm").where("doc_id > first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
     return links.unionByName(copies)
 

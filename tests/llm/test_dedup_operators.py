@@ -60,8 +60,8 @@ def plain_near_duplicates(rows, n):
     return smallest(sets, links), sets
 
 
-@pytest.mark.parametrize("words,block", [(4, 512), (5, 512), (4, 3)])
-def test_near_duplicates_equal_brute_force(spark, words, block):
+@pytest.mark.parametrize("words,block,family", [(4, 512, 24), (5, 512, 24), (4, 3, 24), (4, 3, 1)])
+def test_near_duplicates_equal_brute_force(spark, words, block, family):
     rng = np.random.default_rng(2)
     vocabulary = [f"w{k}" for k in range(400)]
     say = lambda n: list(rng.choice(vocabulary, n))
@@ -77,7 +77,7 @@ def test_near_duplicates_equal_brute_force(spark, words, block):
     ids = rng.permutation(len(texts)).tolist()
     rows = list(zip(ids, texts))
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    config = near_dup.NearDupConfig(words=words, block_texts=block)
+    config = near_dup.NearDupConfig(words=words, block_texts=block, family_blocks=family)
     expected, sets = plain_near_duplicates(rows, words)
     for r in near_dup.near_duplicates(frame, config).collect():
         doc = r["doc_id"]
