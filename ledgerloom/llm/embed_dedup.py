@@ -5,6 +5,8 @@
    Every class goes to the cell of its nearest centroid, its *home*, and as a guest to each lower-numbered
    cell whose bisecting plane with the home is within ``reach``.  So a
    linked pair meets in one cell exactly, the lower of the two homes.
+   More cells save products only as long as few vectors are guests: the number of cells is halved
+   while those of a sample would be guests in more than ``guests`` cells on average.
 3. Cells are cut into blocks of bounded size; each task gets one pair of blocks and
    multiplies them.  No pair is emitted: a task gives each class its number of links and,
    for each part that its links connect, ties to one member.
@@ -33,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import bounded, cut
 from .components import connected_components
 from .near_dup import grouped
 
@@ -47,7 +49,9 @@ class EmbedConfig:
     rounds: int = 8
     sigmas: float = 4.0
     exact_dims: int = 16
+    guests: float = 4.0
     block: int = 2048
+    guest_block: int = 8192
 
     def reach(self, dims: int) -> float:
         far = (2 - 2 * self.cosine) ** 0.5
@@ -98,8 +102,31 @@ def spherical_kmeans(rows: np.ndarray, k: int, rounds: int) -> np.ndarray:
     return centroids
 
 
+def _apart(centroids: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(2 - 2 * (centroids @ centroids.T), 1e-24))
+
+
+def _guest_at(rows: np.ndarray, centroids: np.ndarray, apart: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's home, and rows x cells: where it is a guest."""
+    near = rows @ centroids.T
+    home = near.argmax(axis=1)
+    gap = (near[np.arange(len(rows)), home][:, None] - near) / apart[home]
+    return home, (gap <= reach) & (np.arange(len(centroids))[None, :] < home[:, None])
+
+
+def cells_for(sample: np.ndarray, k: int, config: EmbedConfig) -> np.ndarray:
+    """Centroids: k of them, or fewer if too many vectors would be guests."""
+    reach = config.reach(sample.shape[1])
+    while True:
+        centroids = spherical_kmeans(sample, k, config.rounds)
+        some = sample[:4000]
+        if k == 1 or _guest_at(some, centroids, _apart(centroids), reach)[1].sum() <= config.guests * len(some):
+            return centroids
+        k = max(1, k // 2)
+
+
 def _dealer(centroids: np.ndarray, reach: float):
-    apart = np.sqrt(np.maximum(2 - 2 * (centroids @ centroids.T), 1e-24))
+    apart = _apart(centroids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,10 +137,8 @@ def _dealer(centroids: np.ndarray, reach: float):
             main = np.flatnonzero(wide == centroids.shape[1])
             for a in range(0, len(main), 1024):
                 some = main[a : a + 1024]
-                near = np.stack([np.frombuffer(units[i]) for i in some]) @ centroids.T
-                home = near.argmax(axis=1)
-                gap = (near[np.arange(len(some)), home][:, None] - near) / apart[home]
-                row, cell = np.nonzero((gap <= reach) & (np.arange(len(centroids))[None, :] < home[:, None]))
+                home, guests = _guest_at(np.stack([np.frombuffer(units[i]) for i in some]), centroids, apart, reach)
+                row, cell = np.nonzero(guests)
                 cells += [home, cell]
                 at += [some, some[row]]
                 guest += [np.zeros(len(some), bool), np.ones(len(row), bool)]
@@ -129,7 +154,9 @@ def _dealer(centroids: np.ndarray, reach: float):
 
 def block_products(one: np.ndarray, two: np.ndarray, times_one: np.ndarray, times_two: np.ndarray, same: bool, cosine: float) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
     """Weighted link counts of either side and ties (positions; side two after side one) that connect what is linked."""
-    near = one @ two.T >= cosine
+    near = np.empty((len(one), len(two)), bool)
+    for a in range(0, len(one), 256):  # the products themselves are never held whole
+        np.greater_equal(one[a : a + 256] @ two.T, cosine, out=near[a : a + 256])
     if same:
         np.fill_diagonal(near, False)
     count_one = near @ times_two
@@ -181,7 +208,7 @@ def _multiplier(cosine: float):
 def near_vectors(vectors: DataFrame, config: EmbedConfig | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``vec_id, n_links, component_id, kept``, a row for each row of ``vectors``."""
     config = config or EmbedConfig()
-    own = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
+    own = bounded(vectors).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     ready = cut(own.mapInArrow(_prepare, "vec_id long, key binary, unit binary, dims int"))
     valid = ready.where("key is not null and vec_id is not null")
     classes = cut(valid.groupBy("key").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("times"), F.first("unit").alias("unit"), F.first("dims").alias("dims")))
@@ -191,9 +218,9 @@ def near_vectors(vectors: DataFrame, config: EmbedConfig | None = None, id_col:
         sample = classes.where(F.col("dims") == dims).orderBy(F.xxhash64("vec_id"), "vec_id").limit(config.sample).select("unit").collect()
         rows = np.stack([np.frombuffer(r["unit"]) for r in sample])
         k = max(1, min(config.max_cells, n // config.cell_rows, len(rows)))
-        dealer = _dealer(spherical_kmeans(rows, k, config.rounds), config.reach(dims))
+        dealer = _dealer(cells_for(rows, k, config), config.reach(dims))
         dealt = cut(classes.select("vec_id", "unit", "dims", "times").mapInArrow(dealer, "cell long, guest boolean, vec_id long, times long, unit binary"))
-        sizes = dealt.groupBy("cell").agg(F.ceil(F.count_if(~F.col("guest")) / config.block).cast("int").alias("own"), F.ceil(F.count_if("guest") / config.block).cast("int").alias("guests"))
+        sizes = dealt.groupBy("cell").agg(F.ceil(F.count_if(~F.col("guest")) / config.block).cast("int").alias("own"), F.ceil(F.count_if("guest") / config.guest_block).cast("int").alias("guests"))
         # a row for each cell: max_cells and the other vector lengths
         placed = dealt.join(F.broadcast(sizes), "cell").where("own > 0")
         number = F.pmod(F.xxhash64("vec_id"), F.when(F.col("guest"), F.col("guests")).otherwise(F.col("own"))).cast("int")
