@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..model import KEYS
-
 PARTITION = ("topic", "partition_id")
 
 
@@ -43,5 +41,3 @@ def split(rows: DataFrame, violation: Column) -> DataFrame:
     """Rows with ``violation`` and ``valid``: the checks that a store's constraints would make."""
     return rows.withColumn("violation", violation).withColumn("valid", F.col("violation").isNull())
 
-
-__all__ = ["KEYS", "converged", "first_failures", "one_pass", "split", "summary"]

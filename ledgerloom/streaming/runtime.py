@@ -19,8 +19,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..model import PersistenceConfig, PipelineSpec, TransientError, UnrecoverableError
+from ..model import NO_TOKEN, PersistenceConfig, PipelineSpec, TransientError, UnrecoverableError
 from ..operators import fencing, ledger, sinks
+from ..sources import commands
 from .store import LedgerStore, Version
 
 
@@ -158,6 +159,32 @@ class Pipeline:
             self.query.stop()
 
 
+@dataclass(frozen=True)
+class PartitionContext:
+    """What a pipeline's code can ask and set for one log partition."""
+
+    store: LedgerStore
+    topic: str
+    partition_id: int
+
+    @property
+    def token(self) -> int:
+        """The committed token, -1 if there is none."""
+        return self.store.current().tokens.get((self.topic, self.partition_id), NO_TOKEN)
+
+    @property
+    def resume_at(self) -> int | str:
+        """Where reading goes on after a restart: behind the token, or at the beginning."""
+        return self.token + 1 if self.token >= 0 else "beginning"
+
+    def rows(self, frame: DataFrame) -> DataFrame:
+        return frame.where((F.col("topic") == self.topic) & (F.col("partition_id") == self.partition_id))
+
+    def seek(self, frame: DataFrame, start: int | str | None = None) -> DataFrame:
+        """This log partition's rows from an offset, the beginning or the end; by default from where reading goes on."""
+        return commands.seek(self.rows(frame), self.resume_at if start is None else start)
+
+
 class Registry:
     """Pipelines by name; starting a name again gives the pipeline that is there."""
 

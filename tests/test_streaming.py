@@ -10,7 +10,7 @@ from ledgerloom.operators import ledger
 from ledgerloom.plans.queries import QUERIES
 from ledgerloom.sources import commands as source
 from ledgerloom.streaming import metrics, state
-from ledgerloom.streaming.runtime import LedgerWriter, Pipeline, Registry
+from ledgerloom.streaming.runtime import LedgerWriter, PartitionContext, Pipeline, Registry
 from ledgerloom.streaming.store import LedgerStore
 
 PILL = "x" * 306
@@ -74,6 +74,28 @@ def test_transient_errors_are_repeated_then_unrecoverable(spark, store):
     assert balances(store) == {"A": 1}
 
 
+def test_partition_context(spark, store):
+    rows, context = source.signed(spark, [("A", 1, "")] * 4), PartitionContext(store, "ledger-events", 0)
+    assert (context.token, context.resume_at, context.seek(rows).count()) == (-1, "beginning", 4)
+    LedgerWriter(store).write(rows.where("offset_value < 3"))
+    assert (context.token, context.resume_at, context.seek(rows).count()) == (2, 3, 1)
+    assert [context.seek(rows, x).count() for x in (1, "end", "beginning")] == [3, 0, 4]
+    assert PartitionContext(store, "ledger-events", 1).seek(rows).count() == 0
+
+
+def test_a_stopped_query_loses_nothing(spark, store, tmp_path):
+    write_slices(spark, str(tmp_path / "in"))
+    make = lambda: Pipeline(PipelineSpec("stopped", "t"), lambda: source.file_stream(spark, str(tmp_path / "in")), LedgerWriter(store), str(tmp_path / "check"), **NO_SLEEP)
+    first = make()
+    first.start(once=False)
+    while not store.current().number:
+        first.query.awaitTermination(1)
+    first.stop()
+    assert not first.running
+    make().run()
+    assert (store.changes().count(), balances(store)) == (120, {"A0": 120, "A1": 120})
+
+
 def test_zombies_are_fenced(spark, store):
     old, new = LedgerWriter(store), LedgerWriter(store)
     rows = source.signed(spark, [("A", 1, "")] * 3)
