@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import packed, text_of
 
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -36,27 +36,49 @@ HEX = r"(?<![0-9a-f])[0-9a-f]{16,}"
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{20,}"
 KINDS = ("assign", "access", "hex", "entropy")
 WINDOW = 20
+_CHUNK = 256
 #: Bits per character that a window has to reach, by class: 20 random characters have about 3.2, 3.4 and 4.1.
 LIMITS = {"hex": 2.7, "base64": 3.5}
 #: What is public by nature or only looks random.
 ALLOW = r"^(?:[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}|[0-9._+/=-]+|[A-Za-z_/-]+[0-9]{0,4}|(?:sha(?:1|256|512)|md5)-.*)$"
 
 
+def _chunks(items: Column) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(items), F.lit(1)) - 1) / _CHUNK).cast("int")), lambda k: F.slice(items, k * _CHUNK + 1, F.lit(_CHUNK)))
+
+
+def _running(items: Column, step, kind: str) -> Column:
+    """A left-to-right pass over an array that carries a place ``at`` from 0: ``step(at, x)`` gives the next place and an
+    array of results.  The last place and all results, as (at, got).
+
+    Each addition copies the results so far, so items are passed over some at a time.
+    """
+
+    def one(state: Column, x: Column) -> Column:
+        at, new = step(state["at"], x)
+        return F.struct(at.alias("at"), F.concat(state["got"], new).alias("got"))
+
+    def chunk(state: Column, some: Column) -> Column:
+        inner = F.aggregate(some, F.struct(state["at"].alias("at"), F.array().cast(f"array<{kind}>").alias("got")), one)
+        return F.element_at(F.transform(F.array(inner), lambda x: F.struct(x["at"].alias("at"), F.array_append(state["got"], x["got"]).alias("got"))), 1)
+
+    seed = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{kind}>>").alias("got"))
+    return F.aggregate(_chunks(items), seed, chunk, lambda state: F.struct(state["at"].alias("at"), F.flatten(state["got"]).alias("got")))
+
+
 def _at(text: Column, pattern: str) -> Column:
     """All matches of ``pattern`` as (s, e, m), code points: the pieces between matches give the places."""
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pieces = F.split(text, pattern, -1)
-    seed = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,m:string>>").alias("got"))
+    kind = "struct<s:int,e:int,m:string>"
 
-    def step(state: Column, pair: Column) -> Column:
-        start = state["at"] + F.char_length(pair["gap"])
+    def step(at: Column, pair: Column) -> tuple[Column, Column]:
+        start = at + F.char_length(pair["gap"])
         end = start + F.char_length(pair["m"])
-        return F.struct(end.alias("at"), F.array_append(state["got"], F.struct(start.alias("s"), end.alias("e"), pair["m"].alias("m"))).alias("got"))
+        return end, F.array(F.struct(start.alias("s"), end.alias("e"), pair["m"].alias("m")))
 
-    paired = F.zip_with(matches, F.slice(pieces, 1, F.greatest(F.size(matches), F.lit(0))), lambda m, gap: F.struct(m.alias("m"), gap.alias("gap")))
-    found = F.aggregate(paired, seed, step, lambda state: state["got"])
-    nothing = F.array().cast("array<struct<s:int,e:int,m:string>>")
-    return F.when(text.rlike(pattern), found).otherwise(nothing)
+    paired = F.zip_with(matches, F.slice(pieces, F.lit(1), F.size(matches)), lambda m, gap: F.struct(m.alias("m"), gap.alias("gap")))
+    return F.when(text.rlike(pattern), _running(paired, step, kind)["got"]).otherwise(F.array().cast(f"array<{kind}>"))
 
 
 def _spans(found: Column, kind: str, keep) -> Column:
@@ -130,21 +152,27 @@ def report(docs: DataFrame) -> DataFrame:
 
 def redacted(text: Column, found: Column, mark: str = "[SECRET]") -> Column:
     """``text`` with each stretch that spans cover replaced by ``mark``."""
-    seed = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    def stretch(a: Column, b: Column) -> Column:
+        return F.struct(a.alias("a"), b.alias("b"))
+
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        before = F.array(stretch(at, x["s"]))
+        return F.greatest(at, x["e"]), F.when(x["s"] >= at, before).otherwise(F.slice(before, 1, 0))
 
-    def step(state: Column, x: Column) -> Column:
-        apart = x["s"] >= state["at"]
-        out = F.when(apart, F.concat(state["out"], F.substring(text, state["at"] + 1, x["s"] - state["at"]), F.lit(mark))).otherwise(state["out"])
-        return F.struct(F.greatest(state["at"], x["e"]).alias("at"), out.alias("out"))
+    def cut(chunk: Column) -> Column:
+        """The stretches of a chunk, taken from the part of the text that they lie in."""
+        base = F.element_at(chunk, 1)["a"]
+        part = F.struct(F.substring(text, base + 1, F.element_at(chunk, -1)["b"] - base).alias("t"), base.alias("base"), chunk.alias("c"))
+        return F.element_at(F.transform(F.array(part), lambda p: F.transform(p["c"], lambda x: F.substring(p["t"], x["a"] - p["base"] + 1, x["b"] - x["a"]))), 1)
 
-    tail = F.aggregate(found, seed, step, lambda state: F.concat(state["out"], F.substring(text, state["at"] + 1, F.char_length(text))))
-    return F.when(F.size(found) > 0, tail).otherwise(text)
+    passed = F.transform(F.array(_running(found, step, "struct<a:int,b:int>")), lambda x: F.array_append(x["got"], stretch(x["at"], F.char_length(text))))
+    pieces = F.transform(passed, lambda kept: F.flatten(F.transform(_chunks(kept), cut)))
+    return F.when(F.size(found) > 0, F.array_join(F.element_at(pieces, 1), mark)).otherwise(text)
 
 
 def redact(docs: DataFrame, text_col: str = "text", count_col: str = "n_chars") -> DataFrame:
     """All rows and columns of ``docs``, with secrets replaced in the text and ``count_col``, if there is one, that of the new text."""
-    packed = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    clean = _found(packed, ["row", "text"]).withColumn("clean", redacted(F.col("text"), F.col("found")))
+    clean = _found(packed(docs, text=text_col), ["row", "text"]).withColumn("clean", redacted(F.col("text"), F.col("found")))
     changed = F.size("found") > 0
     columns = []
     for field in docs.schema:
