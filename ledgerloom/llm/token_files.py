@@ -212,7 +212,7 @@ class WordEncoder:
     pieces the store starts anew.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
@@ -245,14 +245,11 @@ class WordEncoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def _learn(self, pieces: list[str]) -> None:
-        odd = [p for p in pieces if any(s in p for s in self.specials)]
-        for p in odd:
-            self.known[p] = self._plain(p).tobytes()
-        if odd:
-            drop = set(odd)
-            pieces = [p for p in pieces if p not in drop]
         if self.ends.any():
-            letters, pieces = [p for p in pieces if _WORD.fullmatch(p)], [p for p in pieces if not _WORD.fullmatch(p)]
+            letters, rest = [], []
+            for p in pieces:
+                (letters if (p.isalpha() and p.islower() if p.isascii() else _WORD.fullmatch(p)) else rest).append(p)
+            pieces = rest
             for a in range(0, len(letters), 2000):
                 some = letters[a : a + 2000]
                 ids = np.array(self.words.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
@@ -263,6 +260,10 @@ class WordEncoder:
                 for p, last in zip(some, ends.tolist()):
                     self.known[p] = data[4 * first : 4 * last]
                     first = last
+        odd = {p for p in pieces if "<" in p and any(s in p for s in self.specials)} if all("<" in s for s in self.specials) else set(pieces)
+        for p in odd:
+            self.known[p] = self._plain(p).tobytes()
+        pieces = [p for p in pieces if p not in odd]
         for a in range(0, len(pieces), 2000):
             some = pieces[a : a + 2000]
             ids = np.array(self.tokenizer.encode_batch_fast([self.mark.join(some)], add_special_tokens=False)[0].ids, np.uint32)
