@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, text_of
+from .common import packed, slices, text_of
 from .textkernels import mix, word_hashes, word_spans
 
 STEP = 8
@@ -65,29 +65,31 @@ class DecontaminationConfig:
 
 
 class Terms:
-    """Word hash -> term number by one probe into a table without collisions between terms."""
+    """Word hash -> term number, by probes into small hashed tables.
+
+    Hashes that meet another in a table go on to the next, which is as much smaller as they are fewer.
+    """
 
     def __init__(self, hashes: np.ndarray):
         self.hashes = hashes
-        bits = max(8, int(len(hashes) * 4).bit_length())
-        seed = 1
-        while True:
-            self.times, self.shift = np.uint64(int(np.random.default_rng(seed).integers(2**61, 2**63)) | 1), np.uint64(64 - bits)
-            slot = (hashes * self.times) >> self.shift
-            if len(np.unique(slot)) == len(hashes):
-                break
-            seed += 1
-            if seed % 8 == 0:
-                bits += 1
-        self.term = np.full(1 << bits, -1, np.int32)
-        self.term[slot.astype(np.int64)] = np.arange(len(hashes))
-        self.key = np.zeros(1 << bits, np.uint64)
-        self.key[slot.astype(np.int64)] = hashes
+        self.tables: list[tuple[np.uint64, np.uint64, np.ndarray, np.ndarray]] = []
+        rng, left = np.random.default_rng(1), np.arange(len(hashes))
+        while len(left):
+            bits = max(8, int(len(left) * 8).bit_length())
+            times, shift = np.uint64(int(rng.integers(2**61, 2**63)) | 1), np.uint64(64 - bits)
+            slot, first = np.unique((hashes[left] * times) >> shift, return_index=True)
+            term, key = np.full(1 << bits, -1, np.int32), np.zeros(1 << bits, np.uint64)
+            term[slot.astype(np.int64)], key[slot.astype(np.int64)] = left[first], hashes[left[first]]
+            self.tables.append((times, shift, term, key))
+            left = np.delete(left, first)
 
     def of(self, words: np.ndarray) -> np.ndarray:
         """Term numbers; -1 for other words."""
-        slot = ((words * self.times) >> self.shift).astype(np.int64)
-        return np.where(self.key[slot] == words, self.term[slot], -1)
+        out = np.full(len(words), -1, np.int32)
+        for times, shift, term, key in self.tables:
+            slot = ((words * times) >> shift).astype(np.int64)
+            out = np.where(key[slot] == words, term[slot], out)
+        return out
 
 
 @dataclass
@@ -200,7 +202,9 @@ _SUMS = "block int, passages long, seen binary, total binary"
 def latent_space(texts: DataFrame, terms: Terms, weightless: np.ndarray, config: DecontaminationConfig) -> tuple[np.ndarray, np.ndarray]:
     """Inverse document frequencies, and terms x dims: what a term adds to its passage's place in the space."""
     n, size = len(terms.hashes), config.sketch
-    parts = texts.mapInArrow(_sums(terms, weightless, config), _SUMS)
+    # each task has sums of all terms to send, so there are a few tasks for each core, however many files there are
+    few = texts.coalesce(8 * texts.sparkSession.sparkContext.defaultParallelism)
+    parts = few.mapInArrow(_sums(terms, weightless, config), _SUMS)
     added = parts.repartition("block").mapInArrow(_added(size), _SUMS).collect()  # a row for each block of terms
     seen, sample, passages = np.zeros(n), np.zeros((n, size)), 0
     for r in added:
@@ -405,7 +409,6 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, config: Decontamination
     config = config or DecontaminationConfig()
     out = docs
     for search in _searches(docs, benchmark, config, text_col, item_col, item_text_col):
-        packed = out.select(F.struct("*").alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
         cleaner = _cleaner(docs.sparkSession.sparkContext.broadcast(search), config.pass_bytes)
-        out = packed.mapInArrow(cleaner, T.StructType([T.StructField("row", docs.schema)])).select("row.*")
+        out = packed(out, text=text_col).mapInArrow(cleaner, T.StructType([T.StructField("row", docs.schema)])).select("row.*")
     return out
