@@ -387,3 +387,26 @@ def test_least_matches_is_the_posterior_tail():
         draw = rng.beta(m + 1, seen - m + 1, 400_000)
         below = rng.beta(m, seen - m + 2, 400_000)
         assert (draw >= 0.8).mean() > 5e-4 and (below >= 0.8).mean() < 2e-3
+
+
+@pytest.mark.parametrize(
+    "page,expected",
+    [
+        (f"<div class='layout with-sidebar'><div id=header-wrap><article>{LONG}</article></div><div class=sidebar>{LONG}</div></div>", TEXT),
+        (f"<article class='post comments-open'>{LONG}<ol class=comment-list><li><article class='comment even'>{LONG}</article></ol></article>", TEXT),
+        (f"<nav><main>{LONG}</main></nav><section id=comments><main>{LONG}</main></section><div>{LONG}</div>", TEXT),
+        (f"<article>{LONG}<div class='share-buttons'>Share</div><h2 class='header'>Kept</h2><span class=ad>buy</span><em class='notice'>kept too</em></article>", f"{TEXT}\nKept\nkept too"),
+    ],
+)
+def test_names_of_containers(page, expected):
+    assert html_text.main_text(page) == expected
+
+
+def test_terms_stay_small_and_exact():
+    rng = np.random.default_rng(8)
+    hashes = np.unique(rng.integers(0, 2**63, 60_000, dtype=np.uint64))
+    terms = decontaminate.Terms(hashes)
+    assert np.array_equal(terms.of(hashes), np.arange(len(hashes)))
+    assert (terms.of(rng.integers(0, 2**63, 1000, dtype=np.uint64)) == -1).all()
+    assert sum(len(t) for _, _, t, _ in terms.tables) < 40 * len(hashes)
+    assert decontaminate.Terms(hashes[:0]).of(hashes[:3]).tolist() == [-1] * 3
