@@ -14,7 +14,8 @@ the path, every block that reaches the threshold, and every heading and paragrap
 
 Before densities are computed, what is no content by its element or by its name
 is taken out: scripts, styles, forms, menus, footers, sidebars, notices, adverts and
-reader comments, and headers outside an article.  So short pages, where a notice can be denser
+reader comments, and headers outside an article; but not a container, whatever it is called, that
+holds an article or main element, unless that is one of the elements or for comments.  So short pages, where a notice can be denser
 than the article, come out right too.
 
 Blocks are separated by block elements; white space within one becomes a space;
@@ -38,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import bounded, slices
 
 # The elements of HTML by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -66,9 +67,12 @@ SCOPE = frozenset({"table", "td", "th", "caption", "button", "object", "html", "
 NOISE = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|adsense|adbox|sponsor(?:ed)?|promo(?:tion)?s?|banner|cookies?|consent|gdpr|notices?|popup|modal|newsletter|subscribe|signup|paywall"
     r"|nav|navbar|navigation|menu|menubar|breadcrumbs?|pagination|pager|toc|sidebar|side-?bar|aside|widgets?|related|recommended|recommendations|share|sharing|social|toolbar|masthead|site-?header|page-?header|header|footer|site-?footer|copyright"
-    r"|comments?|comment-?list|disqus|replies|respond|discussion|hidden|skip-?link|sr-only)(?:$|[\s_-])",
+    r"|hidden|skip-?link|sr-only)(?:$|[\s_-])",
     re.I,
 )
+COMMENTS = re.compile(r"(?:^|[\s_-])(?:comments?|comment-?list|disqus|replies|respond|discussion)(?:$|[\s_-])", re.I)
+#: Class words of one reader comment that is an article of its own.
+ONE_COMMENT = frozenset("comment comment-body comment-content comment-item reply".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog alertdialog menu menubar toolbar".split())
 ROOTS = frozenset({"html", "body", "main", "article"})
 PROSE = frozenset({"h1", "h2", "h3", "h4", "h5", "h6", "p", "blockquote", "pre"})
@@ -79,10 +83,10 @@ _BLANK = re.compile(r"[ \t\n\r\f\v\xa0  -     　]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "noise", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "kids", "noise", "chars", "tags", "link_chars", "link_tags", "density", "total", "comments")
 
     def __init__(self, tag: str, parent: Node | None, noise: bool = False):
-        self.tag, self.parent, self.noise = tag, parent, noise
+        self.tag, self.parent, self.noise, self.comments = tag, parent, noise, False
         self.kids: list[Node | str] = []
 
 
@@ -91,11 +95,13 @@ def _is_noise(tag: str, attributes: str, is_open: Counter[str]) -> bool:
         return True
     if tag == "header":
         return not (is_open["article"] or is_open["main"])
+    if tag == "article":
+        return any(m[1].lower() == "class" and not ONE_COMMENT.isdisjoint((m[2] or m[3] or m[4] or "").lower().split()) for m in _ATTRIBUTE.finditer(attributes))
     if tag in ROOTS or not attributes:
         return False
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name in ("class", "id") and NOISE.search(value):
+        if name in ("class", "id") and (NOISE.search(value) or COMMENTS.search(value)):
             return not (tag in ("h1", "h2", "h3") or tag in INLINE and tag not in ("span", "a"))
         if name == "role" and value.strip().lower() in NOISE_ROLES:
             return True
@@ -168,6 +174,14 @@ def parse(text: str) -> Node:
                     break
         node = Node(tag, stack[-1], _is_noise(tag, m[3], is_open))
         stack[-1].kids.append(node)
+        if tag in ("article", "main") and not node.noise:
+            # what holds the article is named for its layout, as in "with-sidebar"
+            layout = [x for x in stack if x.noise]
+            if not any(x.tag in DROPPED or x.comments for x in layout):
+                for x in layout:
+                    x.noise = False
+        elif node.noise:
+            node.comments = any(COMMENTS.search(x[2] or x[3] or x[4] or "") for x in _ATTRIBUTE.finditer(m[3]))
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(text, at)
             node.kids.append(html.unescape(text[at : end.start() if end else n]) if tag in ("title", "textarea") else "")
@@ -292,5 +306,5 @@ def _extractor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``page_id, url, text, n_chars`` of every page."""
-    own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
+    own = bounded(pages).select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     return own.mapInArrow(_extractor, "page_id long, url string, text string, n_chars long")
