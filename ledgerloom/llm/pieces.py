@@ -84,7 +84,7 @@ class PairTable:
 class PieceCodec:
     """Encoder and decoder for one model file."""
 
-    def __init__(self, path: str, limit: int = 250_000):
+    def __init__(self, path: str, limit: int = 150_000):
         import sentencepiece
 
         self.library = model = sentencepiece.SentencePieceProcessor(model_file=path)
