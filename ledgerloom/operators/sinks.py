@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import KEYS, REASON_LIMIT
@@ -81,7 +81,7 @@ def commit_offsets(delivered: DataFrame) -> DataFrame:
     return whole.where("whole").drop("whole")
 
 
-def delivered_prefix(rows: DataFrame, chunk: int = 1_000_000) -> DataFrame:
+def delivered_prefix(rows: DataFrame) -> DataFrame:
     """Rows before the first refusal in their log partition: all below the least refused offset, which is a partial minimum."""
     refused = rows.where(~F.col("delivered")).groupBy("topic", "partition_id").agg(F.min("offset_value").alias("__stop"))
     return rows.join(refused, ["topic", "partition_id"], "left").where("__stop is null or offset_value < __stop").drop("__stop")
@@ -98,8 +98,3 @@ def store_diff(one: DataFrame, two: DataFrame, keys: Sequence[str], values: Sequ
 def first_batch(rows: DataFrame, size: int, order: Sequence[str] = KEYS) -> DataFrame:
     """The first ``size`` rows of the queue: each task sends its first ones only."""
     return rows.orderBy(*order).limit(size)
-
-
-def current_rows(log: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The last row for each key."""
-    return log.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*[F.desc(o) for o in order]))).where("__n = 1").drop("__n")
