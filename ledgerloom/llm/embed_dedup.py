@@ -12,11 +12,10 @@
    for each part that its links connect, ties to one member.
 4. Ties make components; counts are added up.
 
-Two unit vectors of cosine t are 2 - 2t apart, squared.  ``reach`` = that distance never loses a
-pair.  In many dimensions nearly every vector is that near to some plane, so above ``exact_dims`` dimensions reach is
-``sigmas`` standard deviations of the step across a plane between linked vectors that differ in a random
-direction (distance / sqrt(dims)): at 4 and cosine 0.95 it loses about 3 of 100,000 such pairs that straddle a
-plane, and far fewer of nearer pairs.  ``exact_dims`` can be raised to lose none at the cost of more guests.
+Two unit vectors of cosine t are 2 - 2t apart, squared.  ``reach`` is that distance in any number of dimensions, as
+the step of a linked pair across a plane is never longer: no pair is lost, whatever direction it differs in.  In many dimensions
+nearly every vector is that near to some plane; then few cells are left, most vectors are guests, and
+the products come near to those of all pairs, in blocks.
 
 Defined results: null, zero or empty vectors and those with a null or non-finite component
 are linked with nothing, nor are vectors of different length.  Rows that share an id are one node; a null id is linked
@@ -47,15 +46,13 @@ class EmbedConfig:
     cell_rows: int = 1500
     max_cells: int = 1024
     rounds: int = 8
-    sigmas: float = 4.0
-    exact_dims: int = 16
     guests: float = 4.0
     block: int = 2048
     guest_block: int = 8192
 
-    def reach(self, dims: int) -> float:
-        far = (2 - 2 * self.cosine) ** 0.5
-        return far * (1 + 1e-9) if dims <= self.exact_dims else min(far, self.sigmas * far / dims**0.5)
+    @property
+    def reach(self) -> float:
+        return (2 - 2 * self.cosine) ** 0.5 * (1 + 1e-9)
 
 
 def unit_rows(column: pa.Array) -> list[np.ndarray | None]:
@@ -116,11 +113,10 @@ def _guest_at(rows: np.ndarray, centroids: np.ndarray, apart: np.ndarray, reach:
 
 def cells_for(sample: np.ndarray, k: int, config: EmbedConfig) -> np.ndarray:
     """Centroids: k of them, or fewer if too many vectors would be guests."""
-    reach = config.reach(sample.shape[1])
     while True:
         centroids = spherical_kmeans(sample, k, config.rounds)
         some = sample[:4000]
-        if k == 1 or _guest_at(some, centroids, _apart(centroids), reach)[1].sum() <= config.guests * len(some):
+        if k == 1 or _guest_at(some, centroids, _apart(centroids), config.reach)[1].sum() <= config.guests * len(some):
             return centroids
         k = max(1, k // 2)
 
@@ -218,7 +214,7 @@ def near_vectors(vectors: DataFrame, config: EmbedConfig | None = None, id_col:
         sample = classes.where(F.col("dims") == dims).orderBy(F.xxhash64("vec_id"), "vec_id").limit(config.sample).select("unit").collect()
         rows = np.stack([np.frombuffer(r["unit"]) for r in sample])
         k = max(1, min(config.max_cells, n // config.cell_rows, len(rows)))
-        dealer = _dealer(cells_for(rows, k, config), config.reach(dims))
+        dealer = _dealer(cells_for(rows, k, config), config.reach)
         dealt = cut(classes.select("vec_id", "unit", "dims", "times").mapInArrow(dealer, "cell long, guest boolean, vec_id long, times long, unit binary"))
         sizes = dealt.groupBy("cell").agg(F.ceil(F.count_if(~F.col("guest")) / config.block).cast("int").alias("own"), F.ceil(F.count_if("guest") / config.guest_block).cast("int").alias("guests"))
         # a row for each cell: max_cells and the other vector lengths

@@ -150,6 +150,24 @@ def test_vectors_equal_brute_force(spark, dims, cell_rows, block):
         assert (r["n_links"], r["component_id"], r["kept"]) == (count.get(v, 0), component[v], component[v] == v)
 
 
+@pytest.mark.parametrize("dims, power", [(64, 1.0), (64, 0.5), (256, 1.0)])
+def test_vectors_that_differ_along_the_spectrum(spark, dims, power):
+    # neighbours differ most in the directions that the cells are cut in
+    rng = np.random.default_rng(5)
+    spectrum = np.arange(1, dims + 1) ** -power
+    first = rng.standard_normal((2000, dims)) * spectrum
+    step = rng.standard_normal((2000, dims)) * spectrum
+    step *= np.tan(np.arccos(0.955)) * np.linalg.norm(first, axis=1, keepdims=True) / np.linalg.norm(step, axis=1, keepdims=True)
+    rows = np.concatenate((first, first + step))
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    near = rows @ rows.T >= 0.95
+    assert near[np.arange(2000), np.arange(2000) + 2000].sum() > 800
+    frame = spark.createDataFrame([(k, v) for k, v in enumerate(rows.tolist())], "vec_id long, embedding array<double>").repartition(3)
+    found = {r["vec_id"]: r["n_links"] for r in embed_dedup.near_vectors(frame, embed_dedup.EmbedConfig(cell_rows=200, block=512)).collect()}
+    expected = near.sum(axis=1) - 1
+    assert found == {k: int(n) for k, n in enumerate(expected)}
+
+
 def test_vectors_of_odd_rows(spark):
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, []), (6, [float("nan"), 1.0]), (7, [None, 1.0]), (8, [1.0]), (9, [1.0]), (None, [1.0, 0.0]), (10, [float("inf"), 0.0]), (11, [1e-300, 0.0]), (12, [1e200, 1e-5])]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"label": F.lit(1), "key": F.lit("x"), "cell": F.lit(2), "unit": F.lit(3)})
