@@ -2,7 +2,7 @@
 
 Each stage takes what its predecessor kept, and all but the last return the columns of
 ``documents``.  Nulls, empty tables and odd columns have the results that the operators define:
-a document without a letter is rejected by the first stage, a document with a null id is never a
+a document without a letter or in no learned language is rejected by the first stage, a document with a null id is never a
 near duplicate, and texts are changed by the secret scan alone.
 """
 
@@ -16,7 +16,8 @@ from ledgerloom.llm import decontaminate, language, near_dup, pieces, secrets
 from ledgerloom.llm.common import fresh_folder
 from ledgerloom.session import ship
 
-#: A document goes only if it has no letter or every language's classifier clearly disowns it.
+#: A document goes if it has no letter, if every language's classifier clearly disowns it, or if too many of its n-grams are
+#: in no learned text (``language.keep_known``): clean texts of a few words score 0.45, foreign ones up to 0.8, so no score tells them apart.
 LEAST_LANGUAGE_SCORE = 0.25
 
 

@@ -13,6 +13,11 @@ One-versus-rest kernel ridge regression on those features gives a weight
 vector for each language.  Texts are scored in batches: presence matrix times landmark
 matrix, then times the weights.
 
+Scores tell the learned languages apart, but are high for foreign texts too.  So ``keep_known`` also looks at the
+share of a text's n-grams that no landmark holds.  The fitted texts, each held out of the landmarks,
+say what share their language's own texts have: 99 % of them at most u.  A text may have the share whose odds are
+``strange_odds`` times those of u (``strange_least`` at least), and two standard deviations of such a share more.
+
 Defined results: a null text, or one without a letter, is ``und`` with score 0; a
 text that shares nothing with any landmark gets the regression's bias scores.  Rows with a null
 language are never learned from.  If nothing can be learned from, everything is
@@ -45,6 +50,8 @@ class LanguageConfig:
     fit: int = 250
     ridge: float = 1e-2
     batch: int = 256
+    strange_odds: float = 3.0
+    strange_least: float = 0.05
 
 
 def _base_codes() -> np.ndarray:
@@ -105,6 +112,14 @@ class LanguageModel:
     landmarks: np.ndarray  # columns x landmarks, presence over the landmark's root
     weights: np.ndarray  # landmarks + 1 (bias) x languages
     languages: list[str]
+    strange: np.ndarray  # languages: the share of n-grams in no landmark that a text may have
+
+    def is_strange(self, sets: list[np.ndarray], language: np.ndarray) -> np.ndarray:
+        """Whether a text has too many n-grams that no landmark holds for one of its language (a number)."""
+        size = np.array([max(1, len(g)) for g in sets])
+        share = np.array([(self.places[g] < 0).sum() for g in sets]) / size
+        limit = self.strange[language]
+        return share > limit + 2 * np.sqrt(limit * (1 - limit) / size)
 
     def scores(self, sets: list[np.ndarray]) -> np.ndarray:
         """Texts x languages, from the texts' n-grams."""
@@ -136,7 +151,7 @@ def fit(raws: list[np.ndarray], labels: list[str], is_landmark: list[bool], conf
     value, vector = np.linalg.eigh((land.T @ land).astype(np.float64))
     value = np.maximum(value, 1e-8)
     root = vector @ np.diag(value**-0.5) @ vector.T
-    bare = LanguageModel(codes, places, land, np.vstack([np.eye(len(chosen)), np.zeros(len(chosen))]).astype(np.float32), languages)
+    bare = LanguageModel(codes, places, land, np.vstack([np.eye(len(chosen)), np.zeros(len(chosen))]).astype(np.float32), languages, np.ones(len(languages)))
     rows = np.concatenate([bare.scores(every[a : a + config.batch]) for a in range(0, len(every), config.batch)]).astype(np.float64) @ root
     target = np.array([[1.0 if x == lang else -1.0 for lang in languages] for x in labels])
     share = (target > 0).mean(axis=0)
@@ -146,7 +161,16 @@ def fit(raws: list[np.ndarray], labels: list[str], is_landmark: list[bool], conf
     for k in range(len(languages)):
         w = balance[:, k][:, None]
         weights[:, k] = np.linalg.solve(full.T @ (w * full) + config.ridge * len(rows) / 100 * np.eye(full.shape[1]), full.T @ (w[:, 0] * target[:, k]))
-    return LanguageModel(codes, places, land, np.vstack([root @ weights[:-1], weights[-1:]]).astype(np.float32), languages)
+    return LanguageModel(codes, places, land, np.vstack([root @ weights[:-1], weights[-1:]]).astype(np.float32), languages, _strange(every, labels, is_landmark, places, land, languages, config))
+
+
+def _strange(every: list[np.ndarray], labels: list[str], is_landmark: list[bool], places: np.ndarray, land: np.ndarray, languages: list[str], config: LanguageConfig) -> np.ndarray:
+    holders = np.append((land > 0).sum(axis=1), 0)  # for place -1: the last
+    share = np.array([(holders[places[g]] <= own).mean() if len(g) else 0.0 for g, own in zip(every, is_landmark)])
+    of = np.array(labels)
+    most = np.clip([np.quantile(share[of == lang], 0.99) for lang in languages], 0, 0.9)
+    odds = config.strange_odds * most / (1 - most)
+    return np.maximum(odds / (1 + odds), config.strange_least)
 
 
 def learn(docs: DataFrame, labelled: DataFrame, config: LanguageConfig | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel | None:
@@ -208,15 +232,17 @@ def _keeper(model: LanguageModel | None, least: float, batch: int):
             good = []
             for a in range(0, len(at), batch):
                 some = at[a : a + batch]
-                best = model.scores([grams(data[offsets[k] : offsets[k + 1]], model.codes) for k in some]).max(axis=1)
-                good += [k for k, s in zip(some, best.tolist()) if (s + 1) / 2 >= least]
+                sets = [grams(data[offsets[k] : offsets[k + 1]], model.codes) for k in some]
+                found = model.scores(sets)
+                strange = model.is_strange(sets, found.argmax(axis=1))
+                good += [k for k, s, x in zip(some, found.max(axis=1).tolist(), strange.tolist()) if (s + 1) / 2 >= least and not x]
             yield rows.select(["row"]).take(pa.array(good, pa.int64()))
 
     return run
 
 
 def keep_known(docs: DataFrame, model: LanguageModel | None, least: float, config: LanguageConfig | None = None, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose language is known with a score of ``least`` or more, all columns as they are."""
+    """The rows of ``docs`` whose language is known with a score of ``least`` or more and whose n-grams are not strange to it, all columns as they are."""
     config = config or LanguageConfig()
     held = docs.sparkSession.sparkContext.broadcast(model)
     lettered = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("lettered")

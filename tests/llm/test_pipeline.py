@@ -1,5 +1,7 @@
 """The pipeline's stages, one after another, against brute force."""
 
+import base64
+import random
 import re
 
 import public_tokenizers
@@ -78,3 +80,23 @@ def test_empty_documents(spark, stages):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
         assert docs.count() == 0
+
+
+def test_language_rejects_foreign_texts_and_gibberish(spark):
+    rng = random.Random(1)
+    odd = {
+        "ru": "Москва является столицей России и крупнейшим по численности населения городом страны. Город расположен на западе России.",
+        "zh": "北京是中华人民共和国的首都，是全国的政治中心、文化中心，也是世界著名古都和现代化国际城市。",
+        "el": "Η Αθήνα είναι η πρωτεύουσα της Ελλάδας και μία από τις αρχαιότερες πόλεις του κόσμου.",
+        "ar": "القاهرة هي عاصمة جمهورية مصر العربية وأكبر مدنها من حيث عدد السكان والمساحة، وتقع على ضفتي نهر النيل.",
+        "fi": "Helsinki on Suomen pääkaupunki ja väkiluvultaan suurin kaupunki. Kaupunki sijaitsee Suomenlahden rannalla ja siellä asuu yli kuusisataatuhatta ihmistä.",
+        "pl": "Warszawa jest stolicą Polski i największym miastem kraju, położonym nad Wisłą. Większość zabytków została zniszczona podczas wojny.",
+        "tr": "Ankara, Türkiye'nin başkenti ve en kalabalık ikinci şehridir. Şehir, ülkenin kuzeybatısında yer almakta olup büyük önem taşımaktadır.",
+        "consonants": " ".join("".join(rng.choices("bcdfghjklmnpqrstvwxz", k=6)) for _ in range(60)),
+        "base64": base64.b64encode(rng.randbytes(400)).decode(),
+    }
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    more = spark.createDataFrame([(-1 - k, t, None) for k, t in enumerate(odd.values())], "doc_id long, text string, lang string")
+    kept = rows_of(corpus_pipeline.identify_language(spark, docs.unionByName(more), ""))
+    assert [name for k, name in enumerate(odd) if -1 - k in kept] == []
+    assert kept == {d: t for d, t in rows_of(docs).items() if re.search(r"[^\W\d_]", t or "")}
