@@ -8,7 +8,8 @@
    leading vectors span the latent space.
 2. *Candidates.*  Windows of 16, 32, 64, ... words, an eighth to a half of them apart, are
    projected into the space, and compared by cosine with the items whose length is nearest to theirs.  A
-   candidate needs ``cosine`` and at least ``energy`` of the item's length in the space.
+   candidate needs ``cosine`` and at least ``energy`` of the item's length in the space, and has to share as much weight
+   with the item, over window and surroundings, as the lightest words that the checks can pass with: no leak is lost by that.
 3. *Checks.*  Words of the item and of the window with its surroundings are compared by their
    longest common subsequence.  A document leaks an item if that holds
    ``share`` of the item's words, or ``answer_share`` of them and the item's answer (its last sentence) nearly whole.  Items
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import packed, slices, text_of
-from .textkernels import mix, word_hashes, word_spans
+from .textkernels import word_hashes, word_spans
 
 STEP = 8
 _TERM_BLOCK = 256
@@ -54,7 +55,6 @@ class DecontaminationConfig:
     power: float = 1.5
     cosine: float = 0.15
     energy: float = 0.15
-    mass: float = 0.4
     share: float = 0.6
     answer_share: float = 0.45
     answer: float = 0.8
@@ -249,23 +249,42 @@ class Search:
     def __post_init__(self):
         self.weighty = np.append(self.weight > 0, False)  # for term -1: the last
         self.bags = [np.unique(self.terms.of(w)) for w in self.items.words]
-        self.masses = np.array([self.weight[b].sum() for b in self.bags], np.float32)
+        self.numbers = [self.terms.of(w) for w in self.items.words]
+        bounds = np.array([self._bounds(t, a) for t, a in zip(self.numbers, self.items.answers)])
+        self.least, self.fewest = bounds[:, 0] * (1 - 1e-4), bounds[:, 1]  # less for rounding of sums
         self.wide = np.hstack([self.space, self.weight[:, None]]).astype(np.float32)  # the last column adds up weights
         vectors = np.stack([self.space[self.terms.of(w)].sum(axis=0) for w in self.items.words])
         size = np.linalg.norm(vectors, axis=1)
-        # (item, term) pairs, hashed into a table that can say yes for a few others, so that sums over it are upper bounds
-        pairs = np.concatenate([np.uint64(i) << np.uint64(32) | b.astype(np.uint64) for i, b in enumerate(self.bags)])
-        self.pair_shift = np.uint64(64 - max(16, int(len(pairs) * 32).bit_length()))
-        self.pair_table = np.zeros(1 << int(64 - self.pair_shift), bool)
-        self.pair_table[self._pair_slot(pairs)] = True
+        # term -> items that hold it, of terms with weight
+        pairs = [(b[self.weight[b] > 0], i) for i, b in enumerate(self.bags)]
+        of, holder = np.concatenate([b for b, _ in pairs]), np.concatenate([np.full(len(b), i) for b, i in pairs])
+        order = np.argsort(of, kind="stable")
+        self.holders, self.holders_at = holder[order], np.searchsorted(of[order], np.arange(len(self.weight) + 1))
+        self.seen = np.zeros(len(self.weight) + 1, bool)  # for term -1: the last
         self.by_width: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         widths = np.array([_windows(len(w)) for w in self.items.words])
         for width in np.unique(widths).tolist():
             at = np.flatnonzero(widths == width)
             self.by_width[width] = (at, (vectors[at] / np.maximum(size[at], 1e-30)[:, None]).astype(np.float32), size[at].astype(np.float32))
 
-    def _pair_slot(self, pairs: np.ndarray) -> np.ndarray:
-        return (mix(pairs) >> self.pair_shift).astype(np.int64)
+    @staticmethod
+    def _room(item_words: int) -> int:
+        """Words of surroundings on either side."""
+        return max(STEP, 3 * item_words // 4)
+
+    def _bounds(self, own: np.ndarray, answer_at: int) -> tuple[float, int]:
+        """The least weight, and number of words with weight, that window and surroundings of a leak share with the item, whichever words they are."""
+        config, weight = self.config, np.sort(self.weight[own])
+        answer = np.sort(self.weight[own[answer_at:]])
+
+        def lightest(weights: np.ndarray, share: float) -> tuple[float, int]:
+            n = int(np.ceil(share * len(weights) - 1e-9))
+            return float(weights[:n].sum()), int((weights[:n] > 0).sum())
+
+        if len(own) < config.short:
+            return lightest(weight, 1)
+        whole, part, end = lightest(weight, config.share), lightest(weight, config.answer_share), lightest(answer, config.answer)
+        return tuple(min(w, max(p, e)) if len(answer) else w for w, p, e in zip(whole, part, end))
 
     def in_texts(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, float, float, bool, int]]:
         """(text, item, share, cosine, answer found, first word) of each leak, the best for each text and item."""
@@ -285,6 +304,10 @@ class Search:
         if len(at):
             cuts = np.flatnonzero(np.concatenate(([True], step[1:] != step[:-1])))
             sums[step[cuts]] = np.add.reduceat(self.wide[term[at]], cuts, axis=0)
+        # (position, item) for each item that holds the word there
+        low, many = self.holders_at[term[at]], np.diff(self.holders_at)[term[at]]
+        pair_at = np.repeat(np.arange(len(at)), many)
+        holder = self.holders[np.repeat(low - np.cumsum(many) + many, many) + np.arange(int(many.sum()))]
         found: dict[tuple[int, int], tuple] = {}
         text_of_step = np.repeat(np.arange(len(per_text)), per_text)
         for width, (which, vectors, size) in self.by_width.items():
@@ -295,30 +318,59 @@ class Search:
             stride = max(1, n // 4)
             begin = np.arange(0, len(window), stride)
             window = window[begin]
-            window, mass = window[:, :-1], window[:, -1]
-            length, least = np.linalg.norm(window, axis=1), self.config.mass * self.masses[which]
-            some = np.flatnonzero(mass >= least.min())
-            for a in range(0, len(some), 4096):
-                part = some[a : a + 4096]
-                near = window[part] @ vectors.T
-                own = length[part][:, None]
-                hit, item = np.nonzero((near >= config.cosine * own) & (own >= config.energy * size) & (mass[part][:, None] >= least))
-                if not len(hit):
-                    continue
-                # the weight that window and surroundings share with the item, for all candidates together
-                row = begin[part[hit]]
-                room = -(-width // (2 * STEP))
-                low = np.searchsorted(step, np.maximum(row - room, first[text_of_step[row]]))
-                many = np.searchsorted(step, np.minimum(row + n + room, first[text_of_step[row] + 1])) - low
-                inside = np.repeat(low - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
-                terms = term[at[inside]]
-                shared = self.pair_table[self._pair_slot(np.repeat(which[item].astype(np.uint64), many) << np.uint64(32) | terms.astype(np.uint64))]
-                total = np.bincount(np.repeat(np.arange(len(hit)), many), np.where(shared, self.weight[terms], 0), len(hit))
-                good = np.flatnonzero(total >= least[item])
-                for g in good[np.argsort(-total[good], kind="stable")].tolist():
-                    self._check(int(which[item[g]]), int(text_of_step[row[g]]), int(row[g]), width, float(near[hit[g], item[g]] / own[hit[g], 0]), words, term, bounds, first, found)
+            window = window[:, :-1]
+            length = np.linalg.norm(window, axis=1)
+            # the steps of window and surroundings, as wide as for the longest item, and what they share with each item
+            longest = max(len(self.items.words[i]) for i in which)
+            room = self._room(longest)
+            text = text_of_step[begin]
+            low = np.maximum(begin - -(-room // STEP), first[text])
+            high = np.minimum(begin - (-(max(width, longest) + room) // STEP), first[text + 1])
+            word_from = bounds[text] + (low - first[text]) * STEP
+            word_to = np.minimum(bounds[text] + (high - first[text]) * STEP, bounds[text + 1])
+            for a in range(0, len(which), 256):
+                some = which[a : a + 256]
+                column = np.full(len(self.items.words), -1)
+                column[some] = np.arange(len(some))
+                mine = column[holder]
+                of = np.flatnonzero(mine >= 0)
+                cell = (step[pair_at[of]] + 1) * len(some) + mine[of]
+                shape = (len(sums), len(some))
+                total = np.bincount(cell, self.weight[term[at[pair_at[of]]]], shape[0] * shape[1]).reshape(shape).cumsum(axis=0)
+                number = np.bincount(cell, minlength=shape[0] * shape[1]).reshape(shape).cumsum(axis=0)
+                near, own = window @ vectors[a : a + 256].T, length[:, None]
+                total, number = total[high] - total[low], number[high] - number[low]
+                good = (near >= config.cosine * own) & (own >= config.energy * size[a : a + 256]) & (total >= self.least[some]) & (number >= self.fewest[some])
+                for row, item in self._covered(good, some, word_from, word_to, term):
+                    for g in np.argsort(-total[row, item], kind="stable").tolist():
+                        r, i = row[g], item[g]
+                        self._check(int(some[i]), int(text[r]), int(begin[r]), width, float(near[r, i] / own[r, 0]), words, term, bounds, first, found)
         return [(t, i, *rest) for (t, i), rest in found.items()]
 
+    def _covered(self, good: np.ndarray, some: np.ndarray, word_from: np.ndarray, word_to: np.ndarray, term: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Those of the candidates ``good`` (windows x ``some`` items) whose words from, to hold enough different words of the item, by blocks."""
+        config, none = self.config, len(self.weight)
+        size = np.array([len(self.numbers[i]) for i in some])
+        answers = np.array([len(self.numbers[i]) - self.items.answers[i] for i in some])
+        number = np.full((len(some), size.max()), none, np.int64)
+        ends = np.zeros(number.shape, bool)
+        for k, i in enumerate(some):
+            number[k, : size[k]] = self.numbers[i]
+            ends[k, self.items.answers[i] : size[k]] = True
+        rows = np.flatnonzero(good.any(axis=1))
+        for a in range(0, len(rows), 64):
+            block = rows[a : a + 64]
+            many = word_to[block] - word_from[block]
+            at = np.repeat(word_from[block] - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
+            held = np.zeros((len(block), none + 1), bool)
+            held[np.repeat(np.arange(len(block)), many), term[at]] = True
+            held[:, none] = False
+            row, item = np.nonzero(good[block])
+            there = held[row[:, None], number[item]]
+            whole, end = there.sum(axis=1), (there & ends[item]).sum(axis=1)
+            enough = np.where(size[item] < config.short, whole >= size[item], (whole >= config.share * size[item]) | (whole >= config.answer_share * size[item]) & (end >= config.answer * answers[item]))
+            yield block[row[enough]], item[enough]
+
     def _check(self, item: int, text: int, step: int, width: int, cosine: float, words: np.ndarray, term: np.ndarray, bounds: np.ndarray, first: np.ndarray, found: dict) -> None:
         config, own = self.config, self.items.words[item]
         old = found.get((text, item))
@@ -326,15 +378,22 @@ class Search:
             return
         start, stop = int(bounds[text]), int(bounds[text + 1])
         a = start + (step - int(first[text])) * STEP
-        room = max(STEP, 3 * len(own) // 4)
+        room = self._room(len(own))
         low, high = max(start, a - room), min(stop, a + max(width, len(own)) + room)
-        bag = self.bags[item]
-        inside = np.isin(bag, term[low:high])
-        if self.weight[bag[inside]].sum() < config.mass * self.masses[item]:
-            return
         window = words[low:high]
-        share = lcs(own, window) / len(own)
         answer = own[self.items.answers[item] :]
+        self.seen[term[low:high]] = True
+        there = self.seen[self.numbers[item]]  # no fewer words than any common subsequence has
+        self.seen[term[low:high]] = False
+        most = int(there.sum())
+        if old and most <= old[0] * len(own):
+            return
+        if len(own) < config.short:
+            if most < len(own):
+                return
+        elif most < config.share * len(own) and (most < config.answer_share * len(own) or there[self.items.answers[item] :].sum() < config.answer * len(answer)):
+            return
+        share = lcs(own, window) / len(own)
         answered = bool(len(answer)) and lcs(answer, window) >= config.answer * len(answer)
         enough = share >= 1 if len(own) < config.short else share >= config.share or share >= config.answer_share and answered
         if enough and (old is None or share > old[0]):

@@ -410,3 +410,24 @@ def test_terms_stay_small_and_exact():
     assert (terms.of(rng.integers(0, 2**63, 1000, dtype=np.uint64)) == -1).all()
     assert sum(len(t) for _, _, t, _ in terms.tables) < 40 * len(hashes)
     assert decontaminate.Terms(hashes[:0]).of(hashes[:3]).tolist() == [-1] * 3
+
+
+def test_paraphrases_of_the_rarest_words_leak(spark):
+    # the checks want 60 % of an item's words, whichever they are
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    benchmark = spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet").select("item_id", "text").limit(100)
+    spoken = [r["text"] or "" for r in docs.collect()]
+    held = {}
+    for t in spoken:
+        for w in set(re.findall(r"[^\W_]+", t.lower())):
+            held[w] = held.get(w, 0) + 1
+    around = " ".join(spoken[:40]).split()
+    said = {}
+    for k, r in enumerate(benchmark.collect()):
+        words = re.findall(r"[^\W_]+", r["text"].lower())
+        for at in sorted(range(len(words)), key=lambda j: held.get(words[j], 0))[: int(0.3 * len(words))]:
+            words[at] = f"zq{k}x{at}"
+        said[-1 - r["item_id"]] = " ".join([*around[50 * k : 50 * k + 60], *words, *around[50 * k + 60 : 50 * k + 120]])
+    rows = docs.unionByName(spark.createDataFrame(list(said.items()), "doc_id long, text string"))
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(rows, benchmark).collect()}
+    assert [d for d in said if (d, -1 - d) not in found] == []
