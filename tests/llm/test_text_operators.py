@@ -116,6 +116,61 @@ def test_heap_and_rows_give_one_answer():
     assert [np.frombuffer(b, np.uint32).tolist() for b in model._rows(chunks)] == [model.agenda(c) for c in chunks]
 
 
+def odd_texts(n, seed=1):
+    """Texts of bits that tokenizers stumble over, in any order."""
+    import random
+
+    bits = ["\n", " ", "  ", "▁", "\t", "\0", "\r\n", "Hello", "world", "É", "漢", "😀", "a", "the", "\x1c", "\u200b", "ing", "123", "...", "\n\n", " \n", "\n ", "İ", "<0x20>", "<s>", "</s>", "\u0301", "\ufeff", "\xa0", "'"]
+    rng = random.Random(seed)
+    return ["\nHello big world", *("".join(rng.choices(bits, k=rng.randint(0, 14))) for _ in range(n - 1))]
+
+
+def test_pieces_of_ten_thousand_odd_texts():
+    import sentencepiece
+
+    library, model, texts = sentencepiece.SentencePieceProcessor(model_file=PIECES), pieces.PieceCodec(PIECES), odd_texts(10_000)
+    assert model.encode(texts[:1])[0].tolist() == [28705, 13, 16230, 2032, 1526]
+    for text, ids in zip(texts, model.encode(texts), strict=True):
+        own = library.encode(text)
+        assert ids.tolist() == own, repr(text)
+        assert model.decode(np.array([1, *own, 2])).decode() == library.decode([1, *own, 2]), repr(text)
+
+
+def test_pieces_of_long_texts(spark):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    texts = ["\nword and more words" * 60_000, "x" * 100_000 + "\n" + "é漢" * 40_000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in pieces.encode_documents(rows, PIECES).collect():
+        assert r["ids"] == [1, *library.encode(texts[r["doc_id"]]), 2] and r["decoded"] == library.decode(r["ids"])
+
+
+def test_a_difference_from_the_library_is_an_error():
+    model = pieces.PieceCodec(PIECES)
+    text = "some words"
+    ids = model.encode([text])[0]
+    model.check(text, ids, text.encode())
+    with pytest.raises(ValueError):
+        model.check(text, ids[:-1], text.encode())
+    with pytest.raises(ValueError):
+        model.check(text, ids, b"some word")
+
+
+def test_unsupported_models_are_refused():
+    def field(number, value):
+        size = lambda n: bytes([n]) if n < 128 else bytes([n & 127 | 128, n >> 7])
+        return bytes([number << 3]) + size(value) if isinstance(value, int) else bytes([number << 3 | 2]) + size(len(value)) + value
+
+    def model(trainer=b"", normalizer=b"", kind=1):
+        return field(1, field(1, b"a") + field(3, kind)) + field(2, field(3, 2) + trainer) + field(3, field(4, 0) + normalizer)
+
+    pieces.refuse_unsupported(model())
+    for wrong in (model(trainer=field(3, 1)), model(normalizer=field(2, b"map")), model(normalizer=b"\x18\0"), model(normalizer=field(4, 1)), model(kind=4)):
+        with pytest.raises(ValueError):
+            pieces.refuse_unsupported(wrong)
+
+
 # ------------------------------------------------------------------ language
 
 
