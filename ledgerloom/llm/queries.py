@@ -138,6 +138,12 @@ def _sql(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+def _limit(window: str) -> str:
+    """SQL of the limit of a window's class."""
+    classes = {"digits": "[0-9+/_=-]+", "hex": "(?:[0-9a-f]+|[0-9A-F]+)", "letters": "[A-Za-z+/_=-]+"}
+    return "CASE " + " ".join(f"WHEN regexp_full_match({window}, '{pattern}') THEN {secrets.LIMITS[name]}" for name, pattern in classes.items()) + f" ELSE {secrets.LIMITS['base64']} END"
+
+
 _ASSIGN = _sql(secrets.ASSIGN)
 _NAMED = " ".join(f"WHEN {k} THEN '{name}'" for k, name in enumerate(secrets.KINDS))
 _OP10 = f"""
@@ -145,7 +151,7 @@ WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 {_places("assign", _ASSIGN, f"length(regexp_extract($m, {_ASSIGN}, 2)) >= 12")},
 {_places("access", _sql(secrets.ACCESS), "length($m) >= 18")},
 {_places("hex", "'[0-9a-f]{16,}'", "TRUE")},
-{_places("high", "'[A-Za-z0-9+/_=-]{20,}'", "regexp_matches($m, '[0-9]') AND regexp_matches($m, '[A-Za-z]') AND NOT regexp_matches($m, " + _sql(secrets.ALLOW) + ")")},
+{_places("high", "'[A-Za-z0-9+/_=-]{20,}'", "NOT regexp_matches($m, " + _sql(secrets.ALLOW) + ")")},
 based AS (
   SELECT doc_id, high.f AS h, list_concat(
     list_transform(assign.f, lambda x: {{'s': x.s, 'k': 0, 'e': x.s + length(x.m)}}),
@@ -154,8 +160,7 @@ based AS (
   FROM assign JOIN access USING (doc_id) JOIN hex USING (doc_id) JOIN high USING (doc_id)),
 judged AS (
   SELECT doc_id, list_sort(b) AS b, list_sort(list_concat(b, list_transform(list_filter(h, lambda x: len(list_filter(b, lambda y: y.s <= x.s AND y.e >= x.s + length(x.m))) = 0
-    AND list_max(list_transform(range(1, length(x.m) - {secrets.WINDOW} + 2), lambda i: list_aggregate(string_split(substr(x.m, i, {secrets.WINDOW}), ''), 'entropy')))
-      >= CASE WHEN regexp_matches(x.m, '^(?:[0-9a-f]+|[0-9A-F]+)$') THEN {secrets.LIMITS["hex"]} ELSE {secrets.LIMITS["base64"]} END),
+    AND list_max(list_transform(range(1, length(x.m) - {secrets.WINDOW} + 2), lambda i: list_aggregate(string_split(substr(x.m, i, {secrets.WINDOW}), ''), 'entropy') - {_limit(f"substr(x.m, i, {secrets.WINDOW})")})) >= 0),
     lambda x: {{'s': x.s, 'k': 3, 'e': x.s + length(x.m)}}))) AS a FROM based),
 joined AS (SELECT *, coalesce(array_to_string(list_transform(b, lambda x: (CASE x.k {_NAMED} END) || ':' || x.s || ':' || x.e), ','), '') AS jb,
   coalesce(array_to_string(list_transform(a, lambda x: (CASE x.k {_NAMED} END) || ':' || x.s || ':' || x.e), ','), '') AS spans FROM judged)

@@ -8,17 +8,24 @@ fails its length is dropped, and what it covered isn't looked at again):
 * ``hex``: a run of 16 lower-case hexadecimal digits or more
 
 The method adds kind ``entropy``: candidate strings are runs of 20 or more
-characters of the base-64 alphabet that hold a digit and a letter.  A window of
+characters of the base-64 alphabet.  A window of
 ``WINDOW`` characters slides over each; the counts of its characters are kept
 incrementally (one comes in, one goes out), and with them the sum of
-count * log2(count), from which the Shannon entropy follows.  Windows are judged
-per character class (digits only, hexadecimal, base 64), each with a limit of
-its own.  The candidate is reported if a window reaches the limit of its class, unless the
-allow list suppresses it (UUIDs, plain words and paths with a short number, digits
-and signs, integrity digests) or a base span covers it.
+count * log2(count), from which the Shannon entropy follows.  So are the places of the last letter, the last
+digit and the last character that is no hexadecimal digit of either case: they tell each
+window's own character class, the first of these that fits,
+
+* ``digits``: digits and signs
+* ``hex``: hexadecimal digits of one case
+* ``letters``: letters and signs, as in words and paths
+* ``base64``: anything else
+
+and each class has a limit of its own.  The candidate is reported if a window reaches the limit of its class, unless the
+allow list suppresses it (UUIDs, integrity digests) or a base span covers it.  The work is in
+proportion to the candidate's length.
 
 Positions are code points, ends exclusive.  Null and empty texts have no
-spans; rows are independent, so ties and repeated rows need no rule; an empty
+spans; texts and candidates of any length are scanned whole; rows are independent, so ties and repeated rows need no rule; an empty
 table gives an empty result; columns other than id and text are ignored.
 """
 
@@ -33,17 +40,28 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ACCESS = r"AKIA[A-Z0-9]+"
 # A run shorter than 16 digits would be dropped, and a run's inside holds no longer run: the bound can stand in the pattern.
 HEX = r"(?<![0-9a-f])[0-9a-f]{16,}"
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{20,}"
+CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
 KINDS = ("assign", "access", "hex", "entropy")
 WINDOW = 20
 _CHUNK = 256
-#: Bits per character that a window has to reach, by class: 20 random characters have about 3.2, 3.4 and 4.1.
-LIMITS = {"hex": 2.7, "base64": 3.5}
-#: What is public by nature or only looks random.
-ALLOW = r"^(?:[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}|[0-9._+/=-]+|[A-Za-z_/-]+[0-9]{0,4}|(?:sha(?:1|256|512)|md5)-.*)$"
+#: Bits per character that a window has to reach, by class, about what 19 in 20 windows of 20 random characters of the class have.
+#: Lower-case random letters have 3.8 on average, words and paths below 3.7 nearly always, random letters of both cases 4.05.
+LIMITS = {"digits": 2.62, "hex": 3.0, "letters": 3.75, "base64": 3.72}
+#: Forms that are public by nature.
+ALLOW = r"^(?:[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}|(?:sha(?:1|256|384|512)|md5)-.*)$"
+#: Codes of candidates' characters start here: "+" is 1.
+_FIRST = 42
+#: A window's 80 counts are kept in the bits of a few long integers.
+_BITS, _IN_WORD, _WORDS = 5, 12, 7
+
+
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def _chunks(items: Column) -> Column:
+    """The items some at a time; ``items`` is a bound value or a column, as it is looked at for each chunk."""
     return F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(items), F.lit(1)) - 1) / _CHUNK).cast("int")), lambda k: F.slice(items, k * _CHUNK + 1, F.lit(_CHUNK)))
 
 
@@ -63,7 +81,7 @@ def _running(items: Column, step, kind: str) -> Column:
         return F.element_at(F.transform(F.array(inner), lambda x: F.struct(x["at"].alias("at"), F.array_append(state["got"], x["got"]).alias("got"))), 1)
 
     seed = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{kind}>>").alias("got"))
-    return F.aggregate(_chunks(items), seed, chunk, lambda state: F.struct(state["at"].alias("at"), F.flatten(state["got"]).alias("got")))
+    return _bound(items, lambda bound: F.aggregate(_chunks(bound), seed, chunk, lambda state: F.struct(state["at"].alias("at"), F.flatten(state["got"]).alias("got"))))
 
 
 def _at(text: Column, pattern: str) -> Column:
@@ -85,35 +103,77 @@ def _spans(found: Column, kind: str, keep) -> Column:
     return F.transform(F.filter(found, keep), lambda x: F.struct(x["s"].alias("s"), F.lit(KINDS.index(kind)).alias("k"), x["e"].alias("e")))
 
 
-def window_entropy(token: Column, window: int = WINDOW) -> Column:
-    """The largest Shannon entropy (bits per character) of any ``window`` consecutive characters of an ASCII token."""
-    code = F.transform(F.sequence(F.lit(1), F.char_length(token)), lambda i: F.ascii(F.substring(token, i, F.lit(1))))
+def _over_windows(token: Column, judged, window: int) -> Column:
+    """The largest ``judged(entropy, state)`` of any ``window`` consecutive characters of a base-64 token, null if there are fewer.
+
+    ``state`` has the places of the last letter, digit, and characters outside of either hexadecimal alphabet, and the window's own (at).
+    """
 
     def term(n: Column) -> Column:
         return F.when(n > 1, n * F.log2(n)).otherwise(F.lit(0.0))
 
     def change(state: Column, c: Column, by: int) -> Column:
-        """The state with one character more or less."""
-        n = F.element_at(state["counts"], c + 1)
-        counts = F.concat(F.slice(state["counts"], F.lit(1), c), F.array(n + F.lit(by)), F.slice(state["counts"], c + 2, F.lit(128)))
-        return F.struct(counts.alias("counts"), (state["sum"] + term(n + F.lit(by)) - term(n)).alias("sum"), state["best"].alias("best"))
+        """Counts and sum with one character more or less."""
+        word, place = F.call_function("div", c, F.lit(_IN_WORD)).cast("int"), (c % _IN_WORD) * _BITS
+
+        def counted(n: Column) -> Column:
+            one = F.call_function("shiftleft", F.lit(by).cast("long"), place)
+            counts = F.concat(F.slice(state["counts"], F.lit(1), word), F.array(F.element_at(state["counts"], word + 1) + one), F.slice(state["counts"], word + 2, F.lit(_WORDS)))
+            return F.struct(counts.alias("counts"), (state["sum"] + term(n + F.lit(by)) - term(n)).alias("sum"))
+
+        n = F.call_function("shiftright", F.element_at(state["counts"], word + 1), place).bitwiseAND(F.lit((1 << _BITS) - 1).cast("long"))
+        return _bound(n, counted)
+
+    def inside(c: Column, first: str, last: str) -> Column:
+        return c.between(ord(first) - _FIRST, ord(last) - _FIRST)
+
+    def last(held: Column, is_it: Column, at: Column) -> Column:
+        return F.when(is_it, at).otherwise(held)
 
     def step(state: Column, pair: Column) -> Column:
-        entered = change(state, pair["now"], 1)
-        left = F.when(pair["old"].isNull(), entered).otherwise(change(entered, F.coalesce(pair["old"], F.lit(0)), -1))
-        entropy = F.log2(F.lit(float(window))) - left["sum"] / F.lit(float(window))
-        best = F.when(pair["full"], F.greatest(state["best"], entropy)).otherwise(state["best"])
-        return F.struct(left["counts"].alias("counts"), left["sum"].alias("sum"), best.alias("best"))
+        c, at = pair["now"], pair["at"]
+        left = _bound(change(state, c, 1), lambda entered: F.when(at < window, entered).otherwise(change(entered, pair["old"], -1)))
+        digit, lower, upper = inside(c, "0", "9"), inside(c, "a", "z"), inside(c, "A", "Z")
+        seen = F.struct(
+            left.alias("counts"),
+            last(state["letter"], lower | upper, at).alias("letter"),
+            last(state["digit"], digit, at).alias("digit"),
+            last(state["not_lower"], ~(digit | inside(c, "a", "f")), at).alias("not_lower"),
+            last(state["not_upper"], ~(digit | inside(c, "A", "F")), at).alias("not_upper"),
+            at.alias("at"),
+        )
+
+        def after(x: Column) -> Column:
+            entropy = F.log2(F.lit(float(window))) - x["counts"]["sum"] / F.lit(float(window))
+            best = F.when(at >= window - 1, F.greatest(state["best"], judged(entropy, x))).otherwise(state["best"])
+            return F.struct(x["counts"]["counts"].alias("counts"), x["counts"]["sum"].alias("sum"), best.alias("best"), *(x[k].alias(k) for k in ("letter", "digit", "not_lower", "not_upper")))
+
+        return _bound(seen, after)
+
+    def over(code: Column) -> Column:
+        pairs = F.transform(code, lambda c, i: F.struct(c.alias("now"), F.when(i >= window, F.element_at(code, i - window + 1)).otherwise(F.lit(1)).alias("old"), i.alias("at")))
+        never = F.lit(-1)
+        seed = F.struct(F.array_repeat(F.lit(0).cast("long"), _WORDS).alias("counts"), F.lit(0.0).alias("sum"), F.lit(None).cast("double").alias("best"), *(never.alias(k) for k in ("letter", "digit", "not_lower", "not_upper")))
+        return F.aggregate(pairs, seed, step, lambda state: state["best"])
+
+    return _bound(F.transform(F.slice(F.split(token, ""), F.lit(1), F.char_length(token)), lambda x: F.ascii(x) - _FIRST), over)
+
+
+def window_entropy(token: Column, window: int = WINDOW) -> Column:
+    """The largest Shannon entropy (bits per character) of any ``window`` consecutive characters of a base-64 token; 0 if there are fewer."""
+    return F.coalesce(_over_windows(token, lambda entropy, state: entropy, window), F.lit(0.0))
+
 
-    pairs = F.transform(code, lambda c, i: F.struct(c.alias("now"), F.when(i >= window, F.element_at(code, i - window + 1)).alias("old"), (i >= window - 1).alias("full")))
-    seed = F.struct(F.array_repeat(F.lit(0), 128).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
-    return F.aggregate(pairs, seed, step, lambda state: state["best"])
+def _margin(entropy: Column, state: Column) -> Column:
+    """How far a window is above the limit of its class."""
+    before = state["at"] - WINDOW  # the last place before the window
+    hexed = (state["not_lower"] <= before) | (state["not_upper"] <= before)
+    limit = F.when(state["letter"] <= before, LIMITS["digits"]).when(hexed, LIMITS["hex"]).when(state["digit"] <= before, LIMITS["letters"]).otherwise(LIMITS["base64"])
+    return entropy - limit
 
 
 def _suspicious(x: Column) -> Column:
-    token = x["m"]
-    limit = F.when(token.rlike(r"^(?:[0-9a-f]+|[0-9A-F]+)$"), F.lit(LIMITS["hex"])).otherwise(F.lit(LIMITS["base64"]))
-    return ~token.rlike(ALLOW) & (window_entropy(token) >= limit)
+    return ~x["m"].rlike(ALLOW) & (_over_windows(x["m"], _margin, WINDOW) >= 0)
 
 
 def _found(frame: DataFrame, kept: list[str]) -> DataFrame:

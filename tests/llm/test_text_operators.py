@@ -405,6 +405,54 @@ def test_window_entropy(spark):
         assert r["h"] == pytest.approx(plain_entropy(r["t"], secrets.WINDOW), abs=1e-9)
 
 
+def plain_suspicious(token):
+    limits = {"[0-9+/_=-]+": "digits", "[0-9a-f]+|[0-9A-F]+": "hex", "[A-Za-z+/_=-]+": "letters", ".+": "base64"}
+    for k in range(len(token) - secrets.WINDOW + 1):
+        part = token[k : k + secrets.WINDOW]
+        name = next(name for pattern, name in limits.items() if re.fullmatch(pattern, part))
+        if plain_entropy(part, secrets.WINDOW) >= secrets.LIMITS[name]:
+            return True
+    return False
+
+
+def test_windows_are_judged_by_their_own_class(spark):
+    import random
+    import string
+
+    rng = random.Random(3)
+    alphabets = ["0123456789", "0123456789ABCDEF", "abcdef", string.ascii_lowercase, string.ascii_letters, string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", "abcXYZ-_/", "ab12"]
+    runs = ["".join(rng.choices(rng.choice(alphabets), k=rng.randint(1, 40))) + "".join(rng.choices(rng.choice(alphabets), k=rng.randint(19, 40))) for _ in range(400)]
+    runs = [r for r in runs if not re.search("[0-9a-f]{16}|AKIA", r)]
+    rows = spark.createDataFrame(list(enumerate(runs)), "doc_id long, text string")
+    found = {r["doc_id"]: r["spans"] for r in secrets.report(rows).collect()}
+    assert found == {k: f"entropy:0:{len(r)}" if plain_suspicious(r) else "" for k, r in enumerate(runs)}
+    assert 50 < sum(map(bool, found.values())) < 350
+    # random keys of every class are found, words and paths are not
+    keys = ["".join(rng.choices(string.ascii_letters, k=40)) for _ in range(50)] + ["".join(rng.choices(string.ascii_letters + string.digits, k=32)) for _ in range(50)] + ["-".join("".join(rng.choices(string.digits, k=4)) for _ in range(10)) for _ in range(20)]
+    plain = ["Rechtsschutzversicherungsgesellschaften", "internationalization-of-names-12", "/usr/local/share/applications", "--------------------", "anticonstitutionnellement", "2024-01-01--2024-12-31", "z" * 60]
+    rows = spark.createDataFrame(list(enumerate(keys + plain)), "doc_id long, text string")
+    got = {r["doc_id"] for r in secrets.report(rows).where("spans <> ''").collect()}
+    assert len(got & set(range(len(keys)))) >= 117 and got <= set(range(len(keys)))
+
+
+def test_long_candidates_and_texts_take_linear_time(spark):
+    import random
+    import string
+    import time
+
+    rng = random.Random(4)
+    long = "".join(rng.choices("ghijGHIJ", k=100_000))  # whole, never suspicious
+    many = " ".join("".join(rng.choices(string.ascii_letters + string.digits, k=24)) for _ in range(4_000)) + " word" * 180_000
+    rows = spark.createDataFrame([(1, long), (2, many)], "doc_id long, text string").cache()
+    rows.count()
+    began = time.monotonic()
+    found = by_id(secrets.report(rows))
+    assert time.monotonic() - began < 90
+    assert found[1]["spans"] == "" and len(found[2]["spans"].split(",")) > 3900
+    end = spark.createDataFrame([(1, long + "".join(rng.choices(string.ascii_letters + string.digits, k=40)))], "doc_id long, text string")
+    assert secrets.report(end).first()["spans"].startswith("entropy:0:100040")
+
+
 def test_redaction(spark):
     rows = spark.createDataFrame(SECRETS, "doc_id long, text string").withColumn("n_chars", F.length("text").cast("long")).withColumn("found", F.lit("clash"))
     clean = secrets.redact(rows)
