@@ -505,14 +505,71 @@ def test_names_of_containers(page, expected):
     assert html_text.main_text(page) == expected
 
 
-def test_terms_stay_small_and_exact():
+def exact_leaks(docs, items, config):
+    """Leaks by the rule alone: every window's neighbourhood of every document, by the longest common subsequence, without a space."""
+    out = set()
+    for d, text in docs:
+        words = decontaminate.hashed((text or "").encode())
+        for item, own, answer_at in zip(items.ids, items.words, items.answers):
+            if len(own) < config.short:
+                if any(np.array_equal(words[k : k + len(own)], own) for k in range(len(words) - len(own) + 1)):
+                    out.add((d, item))
+                continue
+            if np.isin(own, words).sum() < config.answer_share * len(own):
+                continue
+            width, room = decontaminate.window_width(len(own)), decontaminate._room(len(own))
+            for a in range(0, len(words), decontaminate.STEP):
+                window = words[max(0, a - room) : a + max(width, len(own)) + room]
+                share, answer = decontaminate.lcs(own, window) / len(own), own[answer_at:]
+                if share >= config.share or share >= config.answer_share and len(answer) and decontaminate.lcs(answer, window) >= config.answer * len(answer):
+                    out.add((d, item))
+                    break
+    return out
+
+
+def test_latent_search_finds_what_an_exact_search_finds(spark):
+    # paraphrases by every rule: 38 % of the words changed, half of them with the answer kept, halves exchanged, and the rarest changed
+    rng = np.random.default_rng(9)
+    docs = [(r["doc_id"], r["text"] or "") for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").limit(250).collect()]
+    listed = [(r["item_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet").orderBy("item_id").limit(60).collect()] + [(900, "Qzx vvk jjw"), (901, "zq")]
+    around = " ".join(t for _, t in docs[:60]).split()
+    planted = []
+    for k, (item, text) in enumerate(listed):
+        words = re.findall(r"[^\W_]+", text.lower())
+        n, cut = len(words), len(words) - max(1, len(re.findall(r"[^\W_]+", re.split(r"[.?!]\s", text.strip().rstrip(".?!"))[-1])))
+        for kind in range(4):
+            own = list(words)
+            if kind == 0:
+                change = rng.choice(n, int(0.38 * n), replace=False)
+            elif kind == 1:
+                change = rng.choice(max(1, cut), min(cut, n // 2), replace=False)
+            elif kind == 2:
+                own, change = own[n // 4 :] + own[: n // 4], []
+            else:
+                change = rng.choice(n, int(0.2 * n), replace=False)
+            for c in change:
+                own[int(c)] = f"zz{k}y{int(c)}"
+            a = int(rng.integers(len(around) - 200))
+            planted.append((-1 - 4 * k - kind, " ".join([*around[a : a + 70], *own, *around[a + 70 : a + 140]])))
+    rows = docs + planted
+    config = decontaminate.DecontaminationConfig(slice_items=25, slices_held=2)
+    expected = exact_leaks(rows, decontaminate.prepare_items(listed), config)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(frame, spark.createDataFrame(listed, "item_id long, text string"), config).collect()}
+    assert found <= expected and len(expected) > 120
+    for kind in range(4):
+        own = {(d, i) for d, i in expected if d < 0 and (-1 - d) % 4 == kind}
+        assert len(found & own) >= 0.9 * len(own), kind
+    assert len(found) >= 0.95 * len(expected)
+
+
+def test_words_of_items_only_are_terms():
     rng = np.random.default_rng(8)
-    hashes = np.unique(rng.integers(0, 2**63, 60_000, dtype=np.uint64))
-    terms = decontaminate.Terms(hashes)
-    assert np.array_equal(terms.of(hashes), np.arange(len(hashes)))
-    assert (terms.of(rng.integers(0, 2**63, 1000, dtype=np.uint64)) == -1).all()
-    assert sum(len(t) for _, _, t, _ in terms.tables) < 40 * len(hashes)
-    assert decontaminate.Terms(hashes[:0]).of(hashes[:3]).tolist() == [-1] * 3
+    hashes = np.unique(rng.integers(0, 2**63, 3000, dtype=np.uint64) * np.uint64(2))
+    folds = np.unique(decontaminate.fold(hashes))
+    terms = decontaminate.Terms(folds)
+    assert np.array_equal(terms.of(hashes), np.searchsorted(folds, decontaminate.fold(hashes)))
+    assert (terms.of(rng.integers(0, 2**63, 1000, dtype=np.uint64) * np.uint64(2)) == -1).mean() > 0.9
 
 
 def test_paraphrases_of_the_rarest_words_leak(spark):
