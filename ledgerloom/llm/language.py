@@ -19,8 +19,9 @@ say what share their language's own texts have: 99 % of them at most u.  A text
 ``strange_odds`` times those of u (``strange_least`` at least), and two standard deviations of such a share more.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; a
-text that shares nothing with any landmark gets the regression's bias scores.  Rows with a null
-language are never learned from.  If nothing can be learned from, everything is
+text that shares nothing with any landmark gets the regression's bias scores.  Of equal scores the language that comes first
+by name wins.  Rows with a null language or id are never learned from; of repeated rows of an id and language the least text is, once.  Texts of any
+length are scored whole, and repeated rows each.  If nothing can be learned from, everything is
 ``und``.  Columns other than those named are ignored; an empty table gives an empty result.
 """
 
@@ -176,12 +177,13 @@ def _strange(every: list[np.ndarray], labels: list[str], is_landmark: list[bool]
 def learn(docs: DataFrame, labelled: DataFrame, config: LanguageConfig | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel | None:
     """A model from the rows ``labelled`` of ``docs``: at most ``config.fit`` of each language are collected."""
     config = config or LanguageConfig()
-    known = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"))
+    known = labelled.where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"))
     order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id")
-    chosen = known.withColumn("n", F.row_number().over(order)).where(F.col("n") <= config.fit)
+    chosen = known.withColumn("n", F.dense_rank().over(order)).where(F.col("n") <= config.fit).distinct()
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    # at most config.fit rows a language; their n-grams are collected, not their texts
-    rows = texts.join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "n", "text").mapInArrow(_raw, "lang string, n int, raw array<int>").collect()
+    # a row for each chosen id and language, at most config.fit a language; their n-grams are collected, not their texts
+    once = texts.join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("lang", "n").agg(F.min("text").alias("text"))
+    rows = once.select("lang", "n", "text").mapInArrow(_raw, "lang string, n int, raw array<int>").collect()
     rows.sort(key=lambda r: (r["lang"], r["n"], r["raw"]))
     return fit([np.array(r["raw"], np.int64) for r in rows], [r["lang"] for r in rows], [r["n"] <= config.landmarks for r in rows], config)
 

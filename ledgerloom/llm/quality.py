@@ -1,19 +1,20 @@
 """Quality scores by nearest-neighbour voting in a latent semantic space.
 
-A text's terms are trigrams of character classes (letters of either case, digits,
-white space, and each ASCII sign for itself) and, for words, repetition of the word before;
+A text's terms are the trigrams of its bytes (letters as they are), the trigrams of its bytes' classes (letters of either case, digits,
+white space, and each ASCII sign for itself), which tell its layout, and, for words, repetition of the word before;
 counts are dampened and weighted by inverse document frequency.  A truncated SVD of
 the labelled texts' vectors gives the latent space.  The labelled vectors are
 broadcast; cosines of every document with all of them are blocked products, and the
 ``neighbours`` nearest vote with weights that grow with their cosine.
 
-The labelled sample is bounded: ``per_label`` texts of each label by hash order
+The labelled sample is bounded: ``per_label`` documents of each label by hash order
 of the id.  Documents beyond it aren't learned from; all documents are scored.
 
 Defined results: a null or empty text has no term and gets the labelled share of good
-texts as its score; if nothing is labelled, every score is 0.5.  Labels that are null or not 0 or 1 are ignored, and several
-labels of one document all count.  Columns other than those named are ignored; an
-empty table gives an empty result.
+texts as its score; if nothing is labelled, every score is 0.5.  Labels that are null or not 0 or 1 are ignored, equal labels
+of one document count once, and different ones both; of repeated rows of a labelled document the least text is learned from.  Neighbours
+that tie with the last one vote too.  Texts of any length are scored whole, and repeated rows each.  Columns other than those
+named are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from .textkernels import word_hashes, word_spans
 @dataclass(frozen=True)
 class QualityConfig:
     per_label: int = 1500
-    dims: int = 32
+    dims: int = 48
     neighbours: int = 25
     power: float = 8.0
     block: int = 512
@@ -54,30 +55,34 @@ def _classes() -> tuple[np.ndarray, int]:
 
 
 _CODES, _KINDS = _classes()
-#: Trigrams fold into this many terms; the last two terms count words and repeated words.
-FOLD = 2048
-TERMS = FOLD + 2
+#: Trigrams of bytes and of classes fold into this many terms; the last two terms count words and repeated words.
+LETTERS, LAYOUT = 4096, 2048
+WORDS = LETTERS + LAYOUT
+TERMS = WORDS + 2
+
+
+def _folded(code: np.ndarray, kinds: int, terms: int) -> np.ndarray:
+    three = (code[:-2] * kinds + code[1:-1]) * kinds + code[2:]
+    return (three * 2654435761 >> 7) % terms
 
 
 def term_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Texts x terms."""
     n = len(offsets) - 1
     out = np.zeros((n, TERMS), np.float32)
-    code = _CODES[data].astype(np.int64)
-    if len(code) > 2:
-        three = (code[:-2] * _KINDS + code[1:-1]) * _KINDS + code[2:]
-        three = (three * 2654435761 >> 7) % FOLD
+    letters, layout = _folded(data.astype(np.int64), 256, LETTERS), _folded(_CODES[data].astype(np.int64), _KINDS, LAYOUT)
     for k, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
         if b - a > 2:
-            out[k, :FOLD] = np.bincount(three[a : b - 2], minlength=FOLD)
+            out[k, :LETTERS] = np.bincount(letters[a : b - 2], minlength=LETTERS)
+            out[k, LETTERS:WORDS] = np.bincount(layout[a : b - 2], minlength=LAYOUT)
     starts, ends, bounds = word_spans(data, offsets)
     words = word_hashes(data, starts, ends)
     same = np.zeros(len(words) + 1, np.int64)
     if len(words) > 1:
         np.cumsum(words[1:] == words[:-1], out=same[2:])
     for k, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
-        out[k, FOLD] = b - a
-        out[k, FOLD + 1] = same[b] - same[a + 1] if b > a + 1 else 0
+        out[k, WORDS] = b - a
+        out[k, WORDS + 1] = same[b] - same[a + 1] if b > a + 1 else 0
     return out
 
 
@@ -99,19 +104,19 @@ class QualityModel:
         own = self.latent(counts)
         cosine = own @ self.vectors.T
         k = min(self.config.neighbours, cosine.shape[1])
-        near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(cosine, near, 1), 0).astype(np.float64) ** self.config.power
+        least = np.partition(cosine, cosine.shape[1] - k, axis=1)[:, cosine.shape[1] - k, None]
+        weight = np.where(cosine >= least, np.maximum(cosine, 0), 0).astype(np.float64) ** self.config.power
         total = weight.sum(axis=1)
-        voted = (weight * self.labels[near]).sum(axis=1) / np.maximum(total, 1e-300)
+        voted = weight @ self.labels / np.maximum(total, 1e-300)
         return np.where((total > 1e-12) & (np.abs(own).sum(axis=1) > 0), np.clip(voted, 0, 1), self.prior)
 
 
 def _weighted(counts: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """Shares of the text's terms, dampened, so that a text's length doesn't matter; a term stands out by its share."""
-    size = np.maximum(counts[:, :FOLD].sum(axis=1, keepdims=True), 1)
+    size = np.maximum(counts[:, :LETTERS].sum(axis=1, keepdims=True), 1)
     share = counts / size
-    share[:, FOLD + 1] = 5 * counts[:, FOLD + 1] / np.maximum(counts[:, FOLD], 1)
-    share[:, FOLD] = 0
+    share[:, WORDS + 1] = 5 * counts[:, WORDS + 1] / np.maximum(counts[:, WORDS], 1)
+    share[:, WORDS] = 0
     return np.sqrt(share) * weights
 
 
@@ -151,15 +156,16 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn(docs: DataFrame, labels: DataFrame, config: QualityConfig | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> QualityModel:
     """A model from at most ``per_label`` documents of each label; their term counts are collected, not their texts."""
     config = config or QualityConfig()
-    known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("doc_id is not null")
+    known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("doc_id is not null").distinct()
     order = F.xxhash64(F.col("doc_id").cast("string"))
     chosen = None
     for label in (0, 1):
         some = known.where(F.col("label") == label).orderBy(order, "doc_id").limit(config.per_label)
         chosen = some if chosen is None else chosen.unionByName(some)
     texts = text_of(docs, F.col(id_col).cast("long").alias("doc_id"), text=text_col)
-    # at most 2 x per_label rows
-    found = texts.join(F.broadcast(chosen), "doc_id").select("text", "label").mapInArrow(_sampled, _COUNTS).collect()
+    # a row for each chosen id and label, 2 x per_label at most, however often the id is repeated
+    once = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    found = once.select("text", "label").mapInArrow(_sampled, _COUNTS).collect()
     found.sort(key=lambda r: (r["label"], r["terms"], r["counts"]))
     counts = np.zeros((len(found), TERMS), np.float32)
     for k, r in enumerate(found):

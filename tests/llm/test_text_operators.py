@@ -237,6 +237,39 @@ def test_votes_equal_brute_force():
         assert got == pytest.approx((weight * labels[near]).sum() / weight.sum(), abs=1e-5)
 
 
+def test_letters_matter_to_quality():
+    import random
+
+    rng = random.Random(2)
+    texts = [" ".join("".join(rng.choices("aeiou" if good else "bcdfg", k=5)) for _ in range(60)) for good in [1, 0] * 40]
+    def counts(texts):
+        data = np.frombuffer("".join(texts).encode(), np.uint8)
+        return quality.term_counts(data, np.cumsum([0, *map(len, texts)]))
+    model = quality.fit(counts(texts[:60]), np.array([1.0, 0.0] * 30), quality.QualityConfig(neighbours=5))
+    assert np.array_equal(model.scores(counts(texts[60:])) > 0.5, [True, False] * 10)
+    scrambled = [re.sub("[a-z]", lambda m: rng.choice("aeioubcdfg"), t) for t in texts[60:]]
+    assert np.abs(model.scores(counts(scrambled)) - model.scores(counts(texts[60:]))).mean() > 0.1
+
+
+def test_neighbours_that_tie_all_vote():
+    counts = np.zeros((4, quality.TERMS), np.float32)
+    counts[:, :3] = [[1, 0, 0], [1, 0, 0], [1, 0, 0], [0, 1, 1]]
+    model = quality.fit(counts, np.array([1.0, 0.0, 0.0, 1.0]), quality.QualityConfig(neighbours=1))
+    assert model.scores(counts[:1])[0] == pytest.approx(1 / 3)
+
+
+def test_repeated_and_long_documents_of_models(spark):
+    long = "eine sehr lange Zeile " * 100_000
+    rows = spark.createDataFrame([(1, "the first text", "en"), *[(2, "zweiter Text hier", "de")] * 50, (2, "anderer Text", "de"), (None, "ohne Nummer", "de"), (3, long, None)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (2, 0), (2, 1)], "doc_id long, quality int")
+    once = rows.where("doc_id = 1").unionByName(spark.createDataFrame([(2, "anderer Text", "de")], "doc_id long, text string, lang string"))
+    a, b = quality.learn(rows, labels), quality.learn(once, labels)
+    assert len(a.vectors) == 3 and np.allclose(a.vectors, b.vectors)
+    one, two = language.learn(rows, rows), language.learn(once, once)
+    assert one.landmarks.shape[1] == 2 and np.allclose(one.landmarks, two.landmarks)
+    assert by_id(language.predict(rows, one))[3]["lang_pred"] == "de" and quality.score(rows, a).count() == rows.count()
+
+
 def test_quality_of_odd_rows(spark, odd):
     labels = spark.createDataFrame([(1, 1), (8, 0), (1, None), (None, 1), (5, 7)], "doc_id long, quality int")
     model = quality.learn(odd, labels)
