@@ -8,22 +8,26 @@ its composite density is
 
 where zero denominators count as 1 and b is 1.05 at least.  A node's density sum is that of its
 children's densities.  Formatting elements count as tags of the block that holds them but are no
-candidates of their own.  The node of the largest sum (its outermost article, if it lies in one) gives the
+candidates of their own.  The node of the largest sum (of equal ones the first in post-order) gives the
 threshold: the least density on its path to the body.  Its subtree is content, whole; so is, beside
 the path, every block that reaches the threshold, and every heading and paragraph, unless most of it is links.
+Where a page says which element is its article, that is the unit: a node within articles stands for the outermost of them, and
+one that holds articles for the one with the largest sum, if that has a fifth of its text or more;
+what is beside an article is no content.
 
-Before densities are computed, what is no content by its element or by its name
-is taken out: scripts, styles, forms, menus, footers, sidebars, notices, adverts and
-reader comments, and headers outside an article; but not a container, whatever it is called, that
-holds an article or main element, unless that is one of the elements or for comments.  So short pages, where a notice can be denser
-than the article, come out right too.
+Before densities are computed, elements that are no content are taken out: scripts, styles, menus, footers, asides, controls, and headers
+outside an article.  Forms, and containers whose class, id or role *is* the name of a menu, a
+sidebar or such, go only if they are side matter: one that holds an article or main element, or, on a page without these, more than half of the text
+outside of links, stays, whatever it is called.  Adverts and notices stay if they hold an article or main element, and reader
+comments in no case.  Without ``names`` only the elements tell.
 
 Blocks are separated by block elements; white space within one becomes a space;
 character references are decoded; blocks are joined by line feeds in page order.
 
 Defined results: null or empty html gives an empty text; so does a page
 without text outside what is taken out.  Unclosed, crossed or cut-off markup is read as browsers do
-in the main.  Rows are independent; an empty table gives an empty
+in the main.  Pages of any length are read whole, in time proportional to it.  Rows are independent, so that repeated
+rows need no rule; an empty table gives an empty
 result; columns other than those named are ignored.
 """
 
@@ -44,7 +48,7 @@ from .common import bounded, slices
 # The elements of HTML by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-DROPPED = frozenset("script style noscript template iframe object embed svg canvas math head title nav footer aside form button select textarea input dialog menu audio video map noembed noframes".split())
+DROPPED = frozenset("script style noscript template iframe object embed svg canvas math head title nav footer aside button select textarea input dialog menu audio video map noembed noframes".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -63,14 +67,14 @@ ENDS = {
     "option": (frozenset({"option"}), frozenset({"select", "datalist"})),
 }
 SCOPE = frozenset({"table", "td", "th", "caption", "button", "object", "html", "template"})
-#: Words of class and id attributes, and roles, that mark what is no content.
+#: Names of class and id attributes, and roles, that mark side matter; a name counts as a whole.
+ADVERTS = re.compile(r"ads?|adverts?|advertisements?|advertising|ad-?(?:box|slot|unit|banner|container|wrapper)|sponsor(?:ed)?|promos?|banner|cookies?|cookie-?(?:notice|banner|bar|consent)|consent|gdpr|notices?|popup|newsletter|signup|paywall", re.I)
 NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|adsense|adbox|sponsor(?:ed)?|promo(?:tion)?s?|banner|cookies?|consent|gdpr|notices?|popup|modal|newsletter|subscribe|signup|paywall"
-    r"|nav|navbar|navigation|menu|menubar|breadcrumbs?|pagination|pager|toc|sidebar|side-?bar|aside|widgets?|related|recommended|recommendations|share|sharing|social|toolbar|masthead|site-?header|page-?header|header|footer|site-?footer|copyright"
-    r"|hidden|skip-?link|sr-only)(?:$|[\s_-])",
+    r"nav|navbar|navigation|(?:main|top|site|side|foot|footer)-?(?:nav|menu)|menu|menubar|breadcrumbs?|pagination|pager|side-?bar|widgets?|(?:share|social)-?(?:buttons?|links?|bar|icons?)|related-?(?:posts?|articles?|links?)"
+    r"|(?:site|page)?-?(?:header|footer)|masthead|copyright|modal|skip-?link|sr-only",
     re.I,
 )
-COMMENTS = re.compile(r"(?:^|[\s_-])(?:comments?|comment-?list|disqus|replies|respond|discussion)(?:$|[\s_-])", re.I)
+COMMENTS = re.compile(r"(?:post-|user-|reader-|article-|page-)?comments?(?:-?(?:list|area|section|thread|box|wrapper|container|form))?|disqus(?:[_-]thread)?|replies|respond|discussion", re.I)
 #: Class words of one reader comment that is an article of its own.
 ONE_COMMENT = frozenset("comment comment-body comment-content comment-item reply".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog alertdialog menu menubar toolbar".split())
@@ -82,38 +86,50 @@ _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"
 _BLANK = re.compile(r"[ \t\n\r\f\v\xa0  -     　]+")
 
 
+KEPT, SIDE, ADVERT, COMMENT, OUT = range(5)
+
+
 class Node:
-    __slots__ = ("tag", "parent", "kids", "noise", "chars", "tags", "link_chars", "link_tags", "density", "total", "comments")
+    __slots__ = ("tag", "parent", "kids", "kind", "noise", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, parent: Node | None, noise: bool = False):
-        self.tag, self.parent, self.noise, self.comments = tag, parent, noise, False
+    def __init__(self, tag: str, parent: Node | None, kind: int = KEPT):
+        self.tag, self.parent, self.kind, self.noise = tag, parent, kind, kind != KEPT
         self.kids: list[Node | str] = []
 
 
-def _is_noise(tag: str, attributes: str, is_open: Counter[str]) -> bool:
+def _kind(tag: str, attributes: str, is_open: Counter[str], names: bool) -> int:
+    """What an element is by itself: content, side matter unless it holds the page's text, comments, or no content."""
     if tag in DROPPED:
-        return True
+        return OUT
     if tag == "header":
-        return not (is_open["article"] or is_open["main"])
+        return KEPT if is_open["article"] or is_open["main"] else OUT
+    if tag == "form":
+        return SIDE
+    if not names or not attributes:
+        return KEPT
+    found = [(m[1].lower(), (m[2] or m[3] or m[4] or "").strip()) for m in _ATTRIBUTE.finditer(attributes)]
     if tag == "article":
-        return any(m[1].lower() == "class" and not ONE_COMMENT.isdisjoint((m[2] or m[3] or m[4] or "").lower().split()) for m in _ATTRIBUTE.finditer(attributes))
-    if tag in ROOTS or not attributes:
-        return False
-    for m in _ATTRIBUTE.finditer(attributes):
-        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name in ("class", "id") and (NOISE.search(value) or COMMENTS.search(value)):
-            return not (tag in ("h1", "h2", "h3") or tag in INLINE and tag not in ("span", "a"))
-        if name == "role" and value.strip().lower() in NOISE_ROLES:
-            return True
-        if name == "aria-hidden" and value.strip().lower() == "true":
-            return True
+        return COMMENT if any(name == "class" and not ONE_COMMENT.isdisjoint(value.lower().split()) for name, value in found) else KEPT
+    if tag in ROOTS:
+        return KEPT
+    for name, value in found:
+        if name in ("class", "id") and not (tag in ("h1", "h2", "h3") or tag in INLINE and tag not in ("span", "a")):
+            words = value.split()
+            if any(COMMENTS.fullmatch(w) for w in words):
+                return COMMENT
+            if any(ADVERTS.fullmatch(w) for w in words):
+                return ADVERT
+            if any(NOISE.fullmatch(w) for w in words):
+                return SIDE
+        if name == "role" and value.lower() in NOISE_ROLES or name == "aria-hidden" and value.lower() == "true":
+            return SIDE
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return bool(re.search(r"(?:^|\s)hidden(?:\s|/|$)", _ATTRIBUTE.sub(" ", attributes), re.I))
+            return SIDE
+    return SIDE if re.search(r"(?:^|\s)hidden(?:\s|/|$)", _ATTRIBUTE.sub(" ", attributes), re.I) else KEPT
 
 
-def parse(text: str) -> Node:
-    """The tree of a page; texts are strings with their references decoded."""
+def parse(text: str, names: bool = True) -> Node:
+    """The tree of a page; texts are strings with their references decoded.  Without ``names``, classes, ids and roles tell nothing."""
     root = Node("#root", None)
     stack, at, n = [root], 0, len(text)
     is_open: Counter[str] = Counter()
@@ -172,16 +188,8 @@ def parse(text: str) -> Node:
                 if stack[k].tag == "head":
                     close(k)
                     break
-        node = Node(tag, stack[-1], _is_noise(tag, m[3], is_open))
+        node = Node(tag, stack[-1], _kind(tag, m[3], is_open, names))
         stack[-1].kids.append(node)
-        if tag in ("article", "main") and not node.noise:
-            # what holds the article is named for its layout, as in "with-sidebar"
-            layout = [x for x in stack if x.noise]
-            if not any(x.tag in DROPPED or x.comments for x in layout):
-                for x in layout:
-                    x.noise = False
-        elif node.noise:
-            node.comments = any(COMMENTS.search(x[2] or x[3] or x[4] or "") for x in _ATTRIBUTE.finditer(m[3]))
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(text, at)
             node.kids.append(html.unescape(text[at : end.start() if end else n]) if tag in ("title", "textarea") else "")
@@ -189,9 +197,34 @@ def parse(text: str) -> Node:
         elif tag not in VOID and not (m[3].endswith("/") and tag not in BLOCKS and tag not in INLINE):
             stack.append(node)
             is_open[tag] += 1
+    _settle(root)
     return root
 
 
+def _settle(root: Node) -> None:
+    """Side matter that holds an article or most of the page's text isn't side matter."""
+    order, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        order.append(node)
+        todo += [k for k in node.kids if not isinstance(k, str) and k.kind not in (OUT, COMMENT)]
+    size: dict[int, tuple[int, bool]] = {}
+    for node in reversed(order):
+        chars, article = 0, node.tag in ("article", "main")
+        for k in node.kids:
+            if isinstance(k, str):
+                chars += len(_BLANK.sub("", k))
+            elif id(k) in size:
+                chars += size[id(k)][0]
+                article |= size[id(k)][1]
+        size[id(node)] = (0 if node.tag == "a" else chars, article)
+    most, marked = size[id(root)]
+    for node in order:
+        if node.kind in (SIDE, ADVERT):
+            chars, article = size[id(node)]
+            node.noise = not (article or node.kind == SIDE and not marked and 2 * chars > most)
+
+
 def _post_order(root: Node) -> list[Node]:
     """All nodes that aren't noise, children before parents, without recursion."""
     out, todo = [], [root]
@@ -235,11 +268,7 @@ def content(root: Node) -> list[Node]:
     best = max(inside, key=lambda x: x.total)
     if best.total <= 0:
         return [body]
-    node = best
-    while node is not body:
-        node = node.parent
-        if node.tag == "article":
-            best = node
+    best = _article_of(best, body)
     # the path includes the body itself
     threshold, node = best.density, best
     while node is not body:
@@ -250,7 +279,7 @@ def content(root: Node) -> list[Node]:
     while node is not body:
         path.add(id(node))
         node = node.parent
-    found, todo = [], [body]
+    found, todo = [], [best if best.tag == "article" else body]
     while todo:
         node = todo.pop()
         if node is best or id(node) not in path:
@@ -260,6 +289,26 @@ def content(root: Node) -> list[Node]:
     return found
 
 
+def _article_of(best: Node, body: Node) -> Node:
+    """The article that ``best`` lies in, outermost, or that holds much of it; else itself."""
+    inside, node = best if best.tag == "article" else None, best
+    while node is not body:
+        node = node.parent
+        if node.tag == "article":
+            inside = node
+    if inside:
+        return inside
+    held, todo = [], [best]
+    while todo:
+        node = todo.pop()
+        if node.tag == "article":
+            held.append(node)
+        else:
+            todo += [k for k in reversed(node.kids) if not isinstance(k, str) and not k.noise]
+    first = max(held, key=lambda x: x.total, default=best)
+    return first if 5 * (first.chars - first.link_chars) >= best.chars - best.link_chars else best
+
+
 def _beside(node: Node, threshold: float) -> bool:
     return bool(node.chars) and 2 * node.link_chars <= node.chars and (node.density >= threshold or node.tag in PROSE)
 
@@ -292,10 +341,10 @@ def blocks(nodes: list[Node]) -> list[str]:
     return out
 
 
-def main_text(page: str | None) -> str:
+def main_text(page: str | None, names: bool = True) -> str:
     if not page:
         return ""
-    return "\n".join(blocks(content(parse(page))))
+    return "\n".join(blocks(content(parse(page, names))))
 
 
 def _extractor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -313,17 +313,101 @@ def test_deep_and_long_pages_end():
     assert html_text.main_text("<p>" + "word " * 50_000).count("word") == 50_000
 
 
-def test_articles_of_the_table(spark):
+def known_article(page):
     import html
 
+    end = page.find("</article>")
+    body = page[page.index("<article>") + 9 : len(page) if end < 0 else end]
+    body = re.sub(r"</?b>", "", re.sub("<br>", " ", re.sub(r"</?(p|h1)>", "\n", body)))
+    lines = [re.sub(r"\s+", " ", html.unescape(x)).strip() for x in body.split("\n")]
+    return "\n".join(x for x in lines if x)
+
+
+def test_articles_of_the_table(spark):
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     for r in QUERIES["op4_html_density"](spark, SF).collect():
-        page = pages[r["page_id"]]
-        end = page.find("</article>")
-        body = page[page.index("<article>") + 9 : len(page) if end < 0 else end]
-        body = re.sub(r"</?b>", "", re.sub("<br>", " ", re.sub(r"</?(p|h1)>", "\n", body)))
-        lines = [re.sub(r"\s+", " ", html.unescape(x)).strip() for x in body.split("\n")]
-        assert r["text"] == "\n".join(x for x in lines if x) and r["n_chars"] == len(r["text"])
+        assert r["text"] == known_article(pages[r["page_id"]]) and r["n_chars"] == len(r["text"])
+
+
+@pytest.mark.parametrize("names", [True, False])
+def test_articles_with_and_without_names(spark, names):
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("html").collect()]
+    wrong = [p for p in pages if html_text.main_text(p, names) != known_article(p)]
+    assert not wrong
+    # a page of divs only: nothing but density and, with names, the advert's name tells the article
+    divs = [p for p in pages if html_text.main_text(re.sub("article>", "div>", p), names) != known_article(p)]
+    assert len(divs) <= (0 if names else 0.03 * len(pages))
+
+
+def plain_density(node, body):
+    """The composite density by its definition, from the subtree's nodes and texts."""
+    import math
+
+    def under(x):
+        kids = [k for k in x.kids if not isinstance(k, str) and not k.noise]
+        return kids + [y for k in kids for y in under(k)]
+
+    def chars(x):
+        return sum(len(re.sub(r"[ \t\n\r\f\v\xa0\u2000-\u200a\u3000\u1680\u2028\u2029\u202f\u205f]", "", k)) if isinstance(k, str) else 0 if k.noise else chars(k) for k in x.kids)
+
+    def links(x):
+        return chars(x) if x.tag == "a" else sum(links(k) for k in x.kids if not isinstance(k, str) and not k.noise)
+
+    c, t, lc, lt = chars(node), len(under(node)), links(node), sum(x.tag == "a" for x in under(node))
+    if not c:
+        return 0.0
+    base = math.log(c / max(1, c - lc) * lc + (links(body) / chars(body) if chars(body) else 0) * c + math.e)
+    inner = max(1.0, c / max(1, lc) * max(1, t) / max(1, lt))
+    return c / max(1, t) * max(math.log(inner), 1e-9) / math.log(max(base, 1.05))
+
+
+def test_densities_sums_and_threshold_by_definition(spark):
+    pages = [r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").select("html").limit(40).collect()] + [p for p, _ in PAGES if p]
+    pages += [re.sub("article>", "div>", p) for p in pages[:10]]
+    for page in pages:
+        for names in (True, False):
+            root = html_text.parse(page, names)
+            found = html_text.content(root)
+            every = html_text._post_order(root)
+            body = next((x for x in every if x.tag == "body"), root)
+            body = body if body.chars else root
+            block = lambda x: [k for k in x.kids if not isinstance(k, str) and not k.noise and k.tag not in html_text.INLINE]
+            for x in every:
+                assert x.density == pytest.approx(plain_density(x, body)), page
+                assert x.total == pytest.approx(sum(k.density for k in block(x)))
+            if not found or found == [body]:
+                continue
+            best = html_text._article_of(max(html_text._post_order(body), key=lambda x: x.total), body)
+            assert best in found
+            path = [best]
+            while path[-1] is not body:
+                path.append(path[-1].parent)
+            least = min(x.density for x in path)
+            for x in found:
+                assert x is best or best.tag != "article" and x.parent in path and 2 * x.link_chars <= x.chars and (x.density >= least or x.tag in html_text.PROSE)
+
+
+@pytest.mark.parametrize(
+    "page,expected",
+    [
+        (f"<form><div class='wrapper has-sidebar'><div class='entry content-with-ads'>{LONG}{LONG}</div><input value=x><select><option>no</select></div></form><div class=sidebar>{LONG}</div>", f"{TEXT}\n{TEXT}"),
+        (f"<div class=widget>{LONG}{LONG}</div><div class=menu>short</div>", f"{TEXT}\n{TEXT}"),
+        (f"<div class='page-header-layout'>{LONG}{LONG}</div><div id=comments>{LONG}{LONG}{LONG}</div>", f"{TEXT}\n{TEXT}"),
+        (f"<form><article>{LONG}</article></form><form>Mail <input></form>", TEXT),
+        (f"<article>{LONG}<div class='notices'>Read this</div><div class='widget'>weather</div></article>", TEXT),
+    ],
+)
+def test_layouts_without_articles(page, expected):
+    assert html_text.main_text(page) == expected
+
+
+def test_nested_articles_take_linear_time():
+    import time
+
+    began = time.monotonic()
+    assert html_text.main_text("<article>" * 40_000 + "x") == "x"
+    assert html_text.main_text("<div class=sidebar>" * 40_000 + "<article>x") == "x"
+    assert time.monotonic() - began < 10
 
 
 def test_pages_of_odd_rows(spark):
