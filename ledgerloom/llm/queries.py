@@ -49,23 +49,18 @@ def op7_embedding_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four batches: all documents by either tokenizer; toxic ones revised to their text without digits; bad ones deleted; the last is sent twice."""
+    """Three batches: all documents by either tokenizer; toxic ones revised to their text without digits; bad ones deleted; the last is sent twice."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
     labels = table(spark, sf_dir, "labels")
     toxic = labels.where("toxic = 1").select("doc_id").distinct()
     bad = labels.where("quality = 0").select("doc_id").distinct()
     ledger = token_ledger.TokenLedger(spark, fresh_folder(spark, "token-ledger"))
-
-    def puts(rows: DataFrame, tokenizer: str, text) -> DataFrame:
-        return rows.select(F.lit("put").alias("op"), "doc_id", "source", "lang", F.lit(tokenizer).alias("tokenizer"), token_ledger.counted(text, tokenizer).alias("tokens"))
-
-    text = F.col("text")
-    ledger.apply("words-1", puts(docs, "words/1", text))
-    ledger.apply("words-2", puts(docs, "words/2", text))
-    # counted before the join, so that the join moves counts and not texts
-    revised = puts(docs, "words/1", F.regexp_replace(text, "[0-9]+", " "))
-    ledger.apply("toxic", revised.join(toxic, "doc_id"))
-    gone = bad.select(F.lit("delete").alias("op"), "doc_id", F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("lang"), F.explode(F.array(F.lit("words/1"), F.lit("words/2"))).alias("tokenizer"), F.lit(None).cast("long").alias("tokens"))
+    versions = ("word_bpe_49k", "piece_bpe_32k")
+    files = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    ledger.apply("all", token_ledger.puts(docs, *files, versions))
+    revised = docs.join(toxic, "doc_id", "left_semi").withColumn("text", F.regexp_replace("text", "[0-9]+", " "))
+    ledger.apply("toxic", token_ledger.puts(revised, *files, versions))
+    gone = bad.select(F.lit("delete").alias("op"), "doc_id", F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("lang"), F.explode(F.array(*map(F.lit, versions))).alias("tokenizer"), F.lit(None).cast("long").alias("tokens"))
     ledger.apply("bad", gone)
     ledger.apply("bad", gone)
     return ledger.totals()
@@ -92,18 +87,6 @@ QUERIES = {
     "op10_secret_scan": op10_secret_scan,
 }
 
-_OP8 = r"""
-WITH toxic AS (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1),
-bad AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 0),
-live AS (SELECT * FROM documents WHERE doc_id IS NOT NULL AND doc_id NOT IN (SELECT doc_id FROM bad WHERE doc_id IS NOT NULL)),
-counted AS (
-  SELECT source, lang, 'words/1' AS tokenizer,
-         len(regexp_extract_all(CASE WHEN doc_id IN (SELECT doc_id FROM toxic) THEN regexp_replace(coalesce(text, ''), '[0-9]+', ' ', 'g') ELSE coalesce(text, '') END, '[^\x20\x09-\x0D]+')) AS tokens
-  FROM live
-  UNION ALL
-  SELECT source, lang, 'words/2', len(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}]+')) FROM live)
-SELECT source, lang, tokenizer, count(*)::BIGINT AS docs, sum(tokens)::BIGINT AS tokens FROM counted GROUP BY ALL"""
-
 _OP7 = """
 WITH RECURSIVE valid AS (
   SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
@@ -169,7 +152,6 @@ SELECT doc_id, len(list_filter(b, lambda x: x.k = 0))::BIGINT AS n_assign, len(l
 
 ORACLE_SQL: dict[str, str] = {
     "op7_embedding_cells": _OP7,
-    "op8_token_rollups": _OP8,
     "op9_minhash_near_dedup": _OP9,
     "op10_secret_scan": _OP10,
 }

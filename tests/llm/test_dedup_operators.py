@@ -230,6 +230,93 @@ def test_a_batch_that_fails_before_its_commit_counts_nothing(spark, tmp_path, mo
     assert totals(ledger) == [("s", "en", "w/1", 1, 10)]
 
 
+def test_racing_writers_lose_nothing(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    folder = str(tmp_path / "ledger")
+    rows = [[("put", d, "s", "en", "w/1", 10 * k + d) for d in range(k, k + 4)] for k in range(5)]
+
+    def write(k):
+        return token_ledger.TokenLedger(spark, folder, buckets=4, compact_every=3).apply(f"b{k % 5}", spark.createDataFrame(rows[k % 5], SCHEMA))
+
+    with ThreadPoolExecutor(7) as pool:
+        done = list(pool.map(write, range(7)))  # two batches are sent twice
+    ledger = token_ledger.TokenLedger(spark, folder, buckets=4)
+    commits = ledger.commits()
+    assert sum(done) == 5 and [c["number"] for c in commits] == list(range(len(commits)))
+    state = {}
+    for c in commits:
+        if c["batch"]:
+            state.update({d: n for _, d, _, _, _, n in rows[int(c["batch"][1])]})
+    assert totals(ledger) == [("s", "en", "w/1", len(state), sum(state.values()))]
+    assert {r["doc_id"]: r["tokens"] for r in ledger.counts().collect()} == state
+
+
+def test_compaction_and_touched_buckets(spark, tmp_path):
+    ledger = token_ledger.TokenLedger(spark, str(tmp_path / "ledger"), buckets=8, compact_every=3)
+    state = {}
+    for k in range(8):
+        rows = [("put", d, f"s{d % 2}", "en", "w/1", k + d) for d in range(3 * k, 3 * k + 9)] + [("delete", 3 * k - 1, None, None, "w/1", None)]
+        assert ledger.apply(f"b{k}", spark.createDataFrame(rows, SCHEMA))
+        state.update({d: k + d for d in range(3 * k, 3 * k + 9)})
+        state.pop(3 * k - 1, None)
+        expected = {}
+        for d, n in state.items():
+            many, all_ = expected.get(f"s{d % 2}", (0, 0))
+            expected[f"s{d % 2}"] = (many + 1, all_ + n)
+        assert totals(ledger) == sorted([(s, "en", "w/1", *x) for s, x in expected.items()], key=str)
+    commits = ledger.commits()
+    assert sum(c["batch"] is None for c in commits) >= 2 and not ledger.apply("b0", spark.createDataFrame(rows, SCHEMA))
+    before = totals(ledger)
+    assert ledger.vacuum() > 0 and totals(ledger) == before and not (tmp_path / "ledger" / "counts" / f"files={commits[0]['files']}").exists()
+    assert {r["doc_id"]: r["tokens"] for r in ledger.counts().collect()} == state
+    plan = ledger._counts(commits, [3])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan and "bucket" in plan.split("PartitionFilters")[1].split("]")[0]
+    with pytest.raises(ValueError):
+        token_ledger.TokenLedger(spark, str(tmp_path / "ledger"), buckets=9).apply("x", spark.createDataFrame(rows, SCHEMA))
+
+
+def test_rollups_equal_sql_on_repeated_ids(spark, tmp_path):
+    import duckdb
+
+    rng = np.random.default_rng(8)
+    rows = [("put" if rng.random() < 0.8 else "delete", int(rng.integers(0, 20)), rng.choice(["s", "t"]), rng.choice(["en", None]), rng.choice(["w/1", "w/2"]), int(rng.integers(0, 9))) for _ in range(300)]
+    rows = [(op, d, str(s), lang, str(t), n) for op, d, s, lang, t, n in rows]
+    ledger = token_ledger.TokenLedger(spark, str(tmp_path / "ledger"), buckets=4)
+    for k in range(3):
+        ledger.apply(f"b{k}", spark.createDataFrame(rows[100 * k : 100 * k + 100], SCHEMA))
+    duck = duckdb.connect()
+    duck.execute("CREATE TABLE changes (batch INT, op VARCHAR, doc_id BIGINT, source VARCHAR, lang VARCHAR, tokenizer VARCHAR, tokens BIGINT)")
+    duck.executemany("INSERT INTO changes VALUES (?, ?, ?, ?, ?, ?, ?)", [(k // 100, *r) for k, r in enumerate(rows)])
+    sql = """
+    WITH one AS (SELECT * FROM changes QUALIFY row_number() OVER (PARTITION BY batch, doc_id, tokenizer ORDER BY op = 'put', -tokens, source, lang NULLS FIRST) = 1),
+    last AS (SELECT * FROM one QUALIFY row_number() OVER (PARTITION BY doc_id, tokenizer ORDER BY batch DESC) = 1)
+    SELECT source, lang, tokenizer, count(*), sum(tokens)::BIGINT FROM last WHERE op = 'put' GROUP BY ALL"""
+    assert totals(ledger) == sorted(duck.execute(sql).fetchall(), key=str)
+
+
+def test_rollups_of_the_table_equal_the_libraries(spark):
+    import public_tokenizers
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    sf = "/root/testdata/sf0.001"
+    words, pieces = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    labels = spark.read.parquet(f"{sf}/labels.parquet").collect()
+    toxic, bad = {r["doc_id"] for r in labels if r["toxic"] == 1}, {r["doc_id"] for r in labels if r["quality"] == 0}
+    expected = {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        if r["doc_id"] in bad:
+            continue
+        text = r["text"] or ""
+        text = re.sub("[0-9]+", " ", text) if r["doc_id"] in toxic else text
+        for name, n in (("word_bpe_49k", len(words.encode(text, add_special_tokens=False).ids)), ("piece_bpe_32k", len(pieces.encode(text)))):
+            many, all_ = expected.get((r["source"], r["lang"], name), (0, 0))
+            expected[r["source"], r["lang"], name] = (many + 1, all_ + n)
+    assert toxic and bad
+    assert sorted((tuple(r) for r in QUERIES["op8_token_rollups"](spark, sf).collect()), key=str) == sorted(((*k, *v) for k, v in expected.items()), key=str)
+
+
 def test_counts(spark):
     rows = spark.createDataFrame([("a b\tc\n d",), (None,), ("",), ("don't 12é",)], "t string")
     assert [r[0] for r in rows.select(token_ledger.counted(F.col("t"), "words/1")).collect()] == [4, 0, 0, 2]
