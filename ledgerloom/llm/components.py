@@ -2,13 +2,45 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
 
-#: A graph of up to this many links (16 bytes each) is worked on in one task, without shuffles.
+#: A graph of up to this many links (16 bytes each), after tasks have reduced their own to forests, is finished in one task.
 TOGETHER = 1_000_000
+#: A task keeps at most this many nodes at once.
+MOST_NODES = 2_000_000
+
+
+def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links that connect what a task's links connect, each node but the least of its part hung on the least."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        top = x
+        while (above := up.get(top, top)) != top:
+            top = above
+        while (above := up.get(x, x)) != top:
+            up[x], x = top, above
+        return top
+
+    def flush() -> pa.RecordBatch:
+        nodes = [(root(x), x) for x in up]
+        up.clear()
+        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in nodes], pa.int64()), pa.array([b for _, b in nodes], pa.int64())], names=["a", "b"])
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            a, b = root(a), root(b)
+            if a != b:
+                up[max(a, b)] = min(a, b)
+        if len(up) > MOST_NODES:
+            yield flush()
+    yield flush()
 
 
 def _size(edges: DataFrame) -> tuple:
@@ -16,40 +48,34 @@ def _size(edges: DataFrame) -> tuple:
     return got[0], got[1]
 
 
-def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
+def connected_components(links: DataFrame, a: str, b: str, together: int = TOGETHER) -> DataFrame:
     """``node``, ``component`` (the smallest node reachable) for every node of a link.
 
-    Large-star and small-star rounds alternate: each node's neighbours are
-    hung on the least of them until every component is a star.  A node's
+    Each task first reduces its own links to a forest.  If ``together`` links or fewer are left, one task
+    joins the forests.  Otherwise large-star and small-star rounds alternate: each node's neighbours are
+    hung on the least of them until every component is a star or few links are left.  A node's
     neighbours are never gathered: the least is a partial aggregate, and
     hanging is a join with one row per node, written first so that both sides are plain
-shuffles and Spark can split hot nodes.  Graphs of few links aren't spread at all.
+    shuffles and Spark can split hot nodes.
     Null ends and self-links are ignored; repeated links count once.
     """
-    spark = links.sparkSession
-    edges = links.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), F.col(a).isNotNull().alias("x"), F.col(b).isNotNull().alias("y")).where("x and y and a < b").select("a", "b").distinct()
-    edges = cut(edges)
+    edges = links.select(F.least(a, b).cast("long").alias("a"), F.greatest(a, b).cast("long").alias("b"), F.col(a).isNotNull().alias("x"), F.col(b).isNotNull().alias("y")).where("x and y and a < b").select("a", "b")
+    edges = cut(edges.mapInArrow(forest, "a long, b long"))
     before = _size(edges)
-    while before[0]:
-        few = before[0] <= TOGETHER
-        if few:
-            edges = edges.coalesce(1)
+    while before[0] > together:
         # large star: every neighbour above the node goes to the least of node and neighbours
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        if few:
-            both = both.coalesce(1)
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        above = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).join(least if few else cut(least), "u").select(F.col("m").alias("a"), F.col("v").alias("b"))
-        large = above.where("a < b")
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a < b")
         # small star: node and its lesser neighbours go to the least neighbour
-        least = large.groupBy(F.col("b").alias("u")).agg(F.min("a").alias("m"))
-        least = least if few else cut(least)
+        least = cut(large.groupBy(F.col("b").alias("u")).agg(F.min("a").alias("m")))
         below = large.select(F.col("b").alias("u"), F.col("a").alias("v")).join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b"))
-        small = below.where("a < b").unionByName(least.select(F.col("m").alias("a"), F.col("u").alias("b")))
-        edges = cut((small.coalesce(1) if few else small).distinct())
+        edges = cut(below.where("a < b").unionByName(least.select(F.col("m").alias("a"), F.col("u").alias("b"))).distinct())
         after = _size(edges)
         if after == before:
             break
         before = after
+    else:
+        edges = cut(edges.coalesce(1).mapInArrow(forest, "a long, b long"))
     roots = edges.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
     return edges.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(roots)

@@ -29,12 +29,15 @@ def smallest(nodes, links):
 # ------------------------------------------------------------------ components
 
 
-def test_components_of_chains_stars_and_noise(spark):
+@pytest.mark.parametrize("together", [1_000_000, 100, 0])
+def test_components_of_chains_stars_and_noise(spark, together):
     rng = np.random.default_rng(1)
     links = [(k, k + 1) for k in range(100, 160)] + [(500, k) for k in range(501, 540)] + [(9, 9), (8, 7), (7, 8)]
     links += [tuple(map(int, x)) for x in rng.integers(1000, 1200, (150, 2))]
-    rows = spark.createDataFrame(links + [(None, 3), (4, None)], "a long, b long")
-    found = {r["node"]: r["component"] for r in connected_components(rows, "a", "b").collect()}
+    rows = spark.createDataFrame(links + [(None, 3), (4, None)], "a long, b long").repartition(3)
+    every = connected_components(rows, "a", "b", together).collect()
+    found = {r["node"]: r["component"] for r in every}
+    assert len(every) == len(found)
     nodes = {n for a, b in links if a != b for n in (a, b)}
     assert found == smallest(nodes, [x for x in links if x[0] != x[1]])
     assert connected_components(rows.limit(0), "a", "b").count() == 0
@@ -99,6 +102,18 @@ def test_near_duplicates_of_odd_rows(spark):
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "2", "3", "3", "4", "5", "None", "None"]
 
 
+def test_a_task_keeps_few_nodes_at_once(monkeypatch):
+    import pyarrow as pa
+
+    from ledgerloom.llm import components
+
+    monkeypatch.setattr(components, "MOST_NODES", 10)
+    links = [(k, k + 1) for k in range(100)] + [(3, 50)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([a for a, _ in links[k : k + 7]]), pa.array([b for _, b in links[k : k + 7]])], names=["a", "b"]) for k in range(0, 101, 7)]
+    out = [(a, b) for batch in components.forest(iter(batches)) for a, b in zip(*(c.to_pylist() for c in batch.columns))]
+    assert smallest(range(101), out) == smallest(range(101), links)
+
+
 def test_survivors_lose_no_similar_pair():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2**63, 400, dtype=np.uint64)
