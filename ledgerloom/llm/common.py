@@ -32,11 +32,23 @@ def shared_folder(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerloom-"))
+    gone_at_exit(spark, spark.sparkContext.getCheckpointDir())
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+def gone_at_exit(spark: SparkSession, folder: str) -> None:
+    """Have the folder deleted when the driver ends."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.mkdirs(path)  # only what is there can be marked
+    store.deleteOnExit(path)
+
+
 def fresh_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new folder in the shared one, for what is needed until the driver ends."""
+    folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    gone_at_exit(spark, folder)
+    return folder
 
 
 def cut(frame: DataFrame) -> DataFrame:
@@ -44,6 +56,7 @@ def cut(frame: DataFrame) -> DataFrame:
     spark = frame.sparkSession
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
+        gone_at_exit(spark, spark.sparkContext.getCheckpointDir())
     return frame.checkpoint(eager=True)
 
 

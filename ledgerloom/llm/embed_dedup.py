@@ -1,7 +1,8 @@
 """Near-duplicate vectors: spherical k-means cells, blocked cosine products within cells.
 
 1. Equal vectors become one class, represented by the least id, with a multiplicity.
-2. Spherical k-means, fitted on a bounded sample by hash order (``sample``), gives the cells.
+2. Spherical k-means, fitted on a bounded sample by hash order (``sample``), gives the cells, one for each ``cell_rows``
+   classes, ``cells_a_sample`` times the sample at most.
    Every class goes to the cell of its nearest centroid, its *home*, and as a guest to each lower-numbered
    cell whose bisecting plane with the home is within ``reach``.  So a
    linked pair meets in one cell exactly, the lower of the two homes.
@@ -19,7 +20,7 @@ the products come near to those of all pairs, in blocks.
 
 Defined results: null, zero or empty vectors and those with a null or non-finite component
 are linked with nothing, nor are vectors of different length.  Rows that share an id are one node; a null id is linked
-with nothing, has a null component and isn't kept.  An empty table gives an empty result; columns other than
+with nothing, has a null component and isn't kept.  A vector that is equally near to centroids is at home with the first.  An empty table gives an empty result; columns other than
 id and vector are ignored.
 """
 
@@ -44,7 +45,7 @@ class EmbedConfig:
     cosine: float = 0.95
     sample: int = 20_000
     cell_rows: int = 1500
-    max_cells: int = 1024
+    cells_a_sample: float = 0.25
     rounds: int = 8
     guests: float = 4.0
     block: int = 2048
@@ -213,11 +214,11 @@ def near_vectors(vectors: DataFrame, config: EmbedConfig | None = None, id_col:
         dims, n = lengths[0]["dims"], lengths[0]["count"]
         sample = classes.where(F.col("dims") == dims).orderBy(F.xxhash64("vec_id"), "vec_id").limit(config.sample).select("unit").collect()
         rows = np.stack([np.frombuffer(r["unit"]) for r in sample])
-        k = max(1, min(config.max_cells, n // config.cell_rows, len(rows)))
+        k = max(1, min(int(config.cells_a_sample * len(rows)), n // config.cell_rows))
         dealer = _dealer(cells_for(rows, k, config), config.reach)
         dealt = cut(classes.select("vec_id", "unit", "dims", "times").mapInArrow(dealer, "cell long, guest boolean, vec_id long, times long, unit binary"))
         sizes = dealt.groupBy("cell").agg(F.ceil(F.count_if(~F.col("guest")) / config.block).cast("int").alias("own"), F.ceil(F.count_if("guest") / config.guest_block).cast("int").alias("guests"))
-        # a row for each cell: max_cells and the other vector lengths
+        # a row for each cell, a quarter of the sample at most, and each other vector length
         placed = dealt.join(F.broadcast(sizes), "cell").where("own > 0")
         number = F.pmod(F.xxhash64("vec_id"), F.when(F.col("guest"), F.col("guests")).otherwise(F.col("own"))).cast("int")
         block = F.when(F.col("guest"), F.col("own") + number).otherwise(number)

@@ -165,8 +165,8 @@ def test_vectors_equal_brute_force(spark, dims, cell_rows, block):
         assert (r["n_links"], r["component_id"], r["kept"]) == (count.get(v, 0), component[v], component[v] == v)
 
 
-@pytest.mark.parametrize("dims, power", [(64, 1.0), (64, 0.5), (256, 1.0)])
-def test_vectors_that_differ_along_the_spectrum(spark, dims, power):
+@pytest.mark.parametrize("dims, power, guests", [(64, 1.0, 4.0), (64, 0.5, 1e9), (64, 0.0, 1e9), (256, 1.0, 1e9)])
+def test_vectors_that_differ_along_the_spectrum(spark, dims, power, guests):
     # neighbours differ most in the directions that the cells are cut in
     rng = np.random.default_rng(5)
     spectrum = np.arange(1, dims + 1) ** -power
@@ -178,7 +178,8 @@ def test_vectors_that_differ_along_the_spectrum(spark, dims, power):
     near = rows @ rows.T >= 0.95
     assert near[np.arange(2000), np.arange(2000) + 2000].sum() > 800
     frame = spark.createDataFrame([(k, v) for k, v in enumerate(rows.tolist())], "vec_id long, embedding array<double>").repartition(3)
-    found = {r["vec_id"]: r["n_links"] for r in embed_dedup.near_vectors(frame, embed_dedup.EmbedConfig(cell_rows=200, block=512)).collect()}
+    found = {r["vec_id"]: r["n_links"] for r in embed_dedup.near_vectors(frame, embed_dedup.EmbedConfig(cell_rows=200, block=512, guests=guests)).collect()}
+    assert len(embed_dedup.cells_for(rows, 20, embed_dedup.EmbedConfig(guests=guests))) == 20 or guests < 1e9
     expected = near.sum(axis=1) - 1
     assert found == {k: int(n) for k, n in enumerate(expected)}
 
