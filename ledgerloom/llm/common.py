@@ -44,6 +44,11 @@ def gone_at_exit(spark: SparkSession, folder: str) -> None:
     store.deleteOnExit(path)
 
 
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fresh_folder(spark: SparkSession, name: str) -> str:
     """A new folder in the shared one, for what is needed until the driver ends."""
     folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
