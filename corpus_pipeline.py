@@ -3,7 +3,11 @@
 Each stage takes what its predecessor kept, and all but the last return the columns of
 ``documents``.  Nulls, empty tables and odd columns have the results that the operators define:
 a document without a letter or in no learned language is rejected by the first stage, a document with a null id is never a
-near duplicate, and texts are changed by the secret scan alone.
+near duplicate, and texts are changed by the secret scan alone.  Repeated rows are copies: those of one id are one node and
+stay together, of equal texts under several ids the least id stays.  Texts of any length go through every stage whole.
+
+Near duplicates are those of five-word shingles here, which is the rule for a pipeline's stages; the query of the operator alone has
+a contract of its own, with four words.
 """
 
 from __future__ import annotations
@@ -13,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import decontaminate, language, near_dup, pieces, secrets
-from ledgerloom.llm.common import fresh_folder
+from ledgerloom.llm.common import delete_folder, fresh_folder
 from ledgerloom.session import ship
 
 #: A document goes if it has no letter, if every language's classifier clearly disowns it, or if too many of its n-grams are
@@ -64,9 +68,12 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each stage's result is written to the shared folder and read again."""
     ship(spark)
     folder = fresh_folder(spark, "pipeline")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:  # nothing reads it any more
+            delete_folder(spark, before)
+        before = path
     return docs
