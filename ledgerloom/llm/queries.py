@@ -58,7 +58,9 @@ def op8_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     versions = ("word_bpe_49k", "piece_bpe_32k")
     files = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
     ledger.apply("all", token_ledger.puts(docs, *files, versions))
-    revised = docs.join(toxic, "doc_id", "left_semi").withColumn("text", F.regexp_replace("text", "[0-9]+", " "))
+    # up to so many ids are sent to every executor, so that no text moves; more are joined by a shuffle of the texts
+    few = toxic.count() <= token_ledger.BROADCAST_IDS
+    revised = docs.join(F.broadcast(toxic) if few else toxic, "doc_id", "left_semi").withColumn("text", F.regexp_replace("text", "[0-9]+", " "))
     ledger.apply("toxic", token_ledger.puts(revised, *files, versions))
     gone = bad.select(F.lit("delete").alias("op"), "doc_id", F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("lang"), F.explode(F.array(*map(F.lit, versions))).alias("tokenizer"), F.lit(None).cast("long").alias("tokens"))
     ledger.apply("bad", gone)

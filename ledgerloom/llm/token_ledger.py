@@ -48,6 +48,8 @@ from .token_files import encoder
 _DELTA = "source string, lang string, tokenizer string, docs long, tokens long"
 _COUNT = "doc_id long, tokenizer string, source string, lang string, tokens long, live boolean, number long, bucket int"
 
+#: Document ids up to this many (16 bytes each) are sent to every executor.
+BROADCAST_IDS = 2_000_000
 #: Tokenizer versions that count by a pattern, so that SQL can.
 PATTERNS = {"words/1": r"[^\x20\x09-\x0D]+", "words/2": r"[\p{L}\p{N}]+"}
 
