@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from ..model import KEYS
 
 PARTITION = ("topic", "partition_id")
+#: Parts of a group's range of values whose running sums are made apart.
+SLICES = 1000
 
 
 def saturated_batch(size: int) -> Column:
@@ -27,14 +29,20 @@ def ranked(values: DataFrame, value: str, groups: Sequence[str], indexes: dict[s
     """For each group the values at zero-based ``indexes`` of its sorted values; an index is an expression of ``n``, the group's size.
 
     Values are counted first; the rank that is searched is found among running sums of
-    distinct values, so that a group's repeated values never meet one by one.
+    distinct values, so that a group's repeated values never meet one by one.  A group's range is cut into ``SLICES``
+    slices, and the sums run within slices, from those of the slices before: no window holds all values of a large group.
     """
     counted = values.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("__times"))
-    upto = Window.partitionBy(*groups).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    summed = counted.withColumn("__upto", F.sum("__times").over(upto))
-    sized = counted.groupBy(*groups).agg(F.sum("__times").alias("n"))
+    sized = counted.groupBy(*groups).agg(F.sum("__times").alias("n"), F.min(value).cast("double").alias("__low"), F.max(value).cast("double").alias("__high"))
     # a row for each group
-    joined = summed.join(sized, list(groups)) if groups else summed.crossJoin(F.broadcast(sized))
+    with_size = counted.join(sized, list(groups)) if groups else counted.crossJoin(F.broadcast(sized))
+    place = F.when(F.col("__high") > F.col("__low"), F.floor((F.col(value).cast("double") - F.col("__low")) / (F.col("__high") - F.col("__low")) * SLICES)).otherwise(0)
+    sliced = with_size.withColumn("__slice", place.cast("long"))
+    parts = [*groups, "__slice"]
+    earlier = Window.partitionBy(*groups).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)  # SLICES + 1 rows a group
+    heads = sliced.groupBy(*parts).agg(F.sum("__times").alias("__all")).select(*parts, F.coalesce(F.sum("__all").over(earlier), F.lit(0)).alias("__before"))
+    upto = Window.partitionBy(*parts).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    joined = sliced.withColumn("__within", F.sum("__times").over(upto)).join(heads, parts).withColumn("__upto", F.col("__before") + F.col("__within"))
     picked = [F.min(F.when(F.col("__upto") > F.least(index, F.col("n") - 1), F.col(value))).alias(name) for name, index in indexes.items()]
     return joined.groupBy(*groups).agg(F.first("n").alias("n"), *picked)
 

@@ -1,4 +1,7 @@
-"""Fencing tokens: stored offsets, compare-and-set outcomes, replay and ownership filters."""
+"""Fencing tokens: stored offsets, compare-and-set outcomes, replay and ownership filters.
+
+Tables with a row for each log partition are broadcast, so that the stream, whose log partitions are few and hot keys, isn't shuffled by them.
+"""
 
 from __future__ import annotations
 
@@ -30,7 +33,7 @@ def fence_outcome(attempts: DataFrame) -> DataFrame:
 
 def after_token(rows: DataFrame, tokens: DataFrame) -> DataFrame:
     """Rows above their log partition's committed token; all rows where there is none."""
-    return rows.join(tokens.select(*PARTITION, "num_offset"), list(PARTITION), "left").where(F.col("offset_value") > F.coalesce("num_offset", F.lit(NO_TOKEN))).drop("num_offset")
+    return rows.join(F.broadcast(tokens.select(*PARTITION, "num_offset")), list(PARTITION), "left").where(F.col("offset_value") > F.coalesce("num_offset", F.lit(NO_TOKEN))).drop("num_offset")
 
 
 def until_rewound(polled: DataFrame, rewinds: DataFrame) -> DataFrame:
@@ -38,13 +41,13 @@ def until_rewound(polled: DataFrame, rewinds: DataFrame) -> DataFrame:
 
     ``polled`` has ``poll`` numbers, ``rewinds`` one row for each rewind: ``topic, partition_id, from_poll, seek_poll``.
     """
-    pending = polled.join(rewinds, list(PARTITION)).where((F.col("poll") >= F.col("from_poll")) & (F.col("poll") < F.col("seek_poll")))
+    pending = polled.join(F.broadcast(rewinds), list(PARTITION)).where((F.col("poll") >= F.col("from_poll")) & (F.col("poll") < F.col("seek_poll")))
     return pending.select(*polled.columns).distinct()
 
 
 def owned_only(rows: DataFrame, assignment: DataFrame) -> DataFrame:
     """Rows of the log partitions that are assigned here."""
-    return rows.join(assignment.select(*PARTITION).distinct(), list(PARTITION), "left_semi")
+    return rows.join(F.broadcast(assignment.select(*PARTITION).distinct()), list(PARTITION), "left_semi")
 
 
 def current_assignment(log: DataFrame) -> DataFrame:

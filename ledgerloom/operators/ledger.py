@@ -91,10 +91,19 @@ def offset_gaps(rows: DataFrame, **more) -> DataFrame:
     return sequence_ids(rows, **more).where(F.col("offset_value") != F.col("id") - 1).withColumn("expected_offset", F.col("id") - 1).drop("id")
 
 
-def replayed(applied: DataFrame, order: str = "applied_seq") -> DataFrame:
-    """Applied records whose offset isn't above every offset applied before in their log partition."""
-    before = Window.partitionBy("topic", "partition_id").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return applied.withColumn("__most", F.max("offset_value").over(before)).where(F.col("offset_value") <= F.col("__most")).drop("__most")
+def replayed(applied: DataFrame, order: str = "applied_seq", chunk: int = CHUNK_OFFSETS) -> DataFrame:
+    """Applied records whose offset isn't above every offset applied before in their log partition.
+
+    The largest offset so far runs within chunks of ``order`` and starts from the largest of the chunks before.
+    """
+    parts = ["topic", "partition_id", "__chunk"]
+    chunked = applied.withColumn("__chunk", F.floor(F.col(order) / F.lit(chunk)))
+    tops = chunked.groupBy(*parts).agg(F.max("offset_value").alias("__top"))
+    earlier = Window.partitionBy("topic", "partition_id").orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carried = tops.select(*parts, F.max("__top").over(earlier).alias("__carried"))
+    before = Window.partitionBy(*parts).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    most = chunked.withColumn("__most", F.max("offset_value").over(before)).join(carried, parts)
+    return most.where(F.col("offset_value") <= F.greatest("__most", "__carried")).drop("__most", "__carried", "__chunk")
 
 
 def max_id(numbered: DataFrame) -> DataFrame:

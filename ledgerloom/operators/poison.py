@@ -20,7 +20,7 @@ def one_pass(rows: DataFrame, poison: Column, transient: Column | None = None) -
     failure is HALTED and never dead; what comes after is ABANDONED until a restart.
     """
     failed = poison if transient is None else poison | transient
-    joined = rows.join(first_failures(rows, failed), list(PARTITION), "left")
+    joined = rows.join(F.broadcast(first_failures(rows, failed)), list(PARTITION), "left")  # a row for each log partition
     at = F.when(poison if transient is None else poison & ~transient, "DEAD").otherwise("HALTED")
     outcome = F.when(F.col("first_failure").isNull() | (F.col("offset_value") < F.col("first_failure")), "PERSISTED").when(F.col("offset_value") == F.col("first_failure"), at).otherwise("ABANDONED")
     return joined.withColumn("outcome", outcome).drop("first_failure")

@@ -75,16 +75,17 @@ def dead_letters(pills: DataFrame, cause: Column) -> DataFrame:
     return pills.select(*KEYS, payload().alias("payload"), F.substring(cause, 1, 512).alias("cause"))
 
 
-def commit_offsets(delivered: DataFrame) -> DataFrame:
-    """Offset after the last row, of each log partition whose rows were all delivered."""
-    whole = delivered.groupBy("topic", "partition_id").agg(F.bool_and("delivered").alias("whole"), (F.max("offset_value") + 1).alias("next_offset"))
+def commit_offsets(delivered: DataFrame, slice_cols: Sequence[str] = ("topic", "partition_id")) -> DataFrame:
+    """Offset after the last row, of each slice (by default all of a log partition) whose rows were all delivered."""
+    whole = delivered.groupBy(*slice_cols).agg(F.bool_and("delivered").alias("whole"), (F.max("offset_value") + 1).alias("next_offset"))
     return whole.where("whole").drop("whole")
 
 
 def delivered_prefix(rows: DataFrame) -> DataFrame:
     """Rows before the first refusal in their log partition: all below the least refused offset, which is a partial minimum."""
     refused = rows.where(~F.col("delivered")).groupBy("topic", "partition_id").agg(F.min("offset_value").alias("__stop"))
-    return rows.join(refused, ["topic", "partition_id"], "left").where("__stop is null or offset_value < __stop").drop("__stop")
+    # a row for each log partition at most
+    return rows.join(F.broadcast(refused), ["topic", "partition_id"], "left").where("__stop is null or offset_value < __stop").drop("__stop")
 
 
 def store_diff(one: DataFrame, two: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:

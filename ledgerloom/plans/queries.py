@@ -130,12 +130,23 @@ def gen_round_robin(spark, sf_dir):
     return source.generated(spark, 150_000, 1_500)
 
 
-@query()
+@query("SELECT i AS message_id, CAST('0x' || substr(md5('42:' || i), 1, 15) AS BIGINT) AS send_order, 'ACC-' || (i % 1500) AS account_number, CAST(1 AS BIGINT) AS amount, 'credit' AS reason FROM range(150000) t(i)")
 def gen_shuffled(spark, sf_dir):
     return source.generated(spark, 150_000, 1_500, shuffled=True).orderBy("send_order", "message_id")
 
 
-@query()
+#: The key hash in SQL, for ASCII keys: four bytes at a time from the left, then the rest, then the finish.
+_M, _MASK = "1540483477::UBIGINT", "4294967295::UBIGINT"
+_MURMUR2 = f"""bytes AS (SELECT account_number, list_transform(string_split(account_number, ''), lambda c: ascii(c)::UBIGINT) AS b FROM (SELECT DISTINCT account_number FROM commands)),
+folded AS (SELECT account_number, len(b) AS n, b, list_reduce(list_prepend(xor(2538058380::UBIGINT, len(b)::UBIGINT),
+  list_transform(list_transform(list_transform(range(0, len(b) // 4), lambda i: ((b[4 * i + 1] + b[4 * i + 2] * 256 + b[4 * i + 3] * 65536 + b[4 * i + 4] * 16777216) * {_M}) & {_MASK}), lambda k: xor(k, k >> 24)), lambda k: (k * {_M}) & {_MASK})),
+  lambda h, k: xor((h * {_M}) & {_MASK}, k)) AS h FROM bytes),
+rested AS (SELECT account_number, CASE n % 4 WHEN 0 THEN h ELSE (xor(h, b[n - n % 4 + 1] + CASE WHEN n % 4 > 1 THEN b[n - n % 4 + 2] * 256 ELSE 0 END + CASE WHEN n % 4 > 2 THEN b[n - n % 4 + 3] * 65536 ELSE 0 END) * {_M}) & {_MASK} END AS h FROM folded),
+mixed AS (SELECT account_number, (xor(h, h >> 13) * {_M}) & {_MASK} AS h FROM rested),
+hashed AS (SELECT account_number, xor(h, h >> 15)::BIGINT AS h FROM mixed)"""
+
+
+@query(f"WITH {_COMMANDS}, {_MURMUR2} SELECT account_number, CAST(((CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END) % 3 + 3) % 3 AS INTEGER) AS partition_id FROM hashed")
 def partition_of_key(spark, sf_dir):
     accounts = source.commands(spark, sf_dir).select("account_number").distinct()
     return accounts.withColumn("partition_id", scalar.partition_of(F.col("account_number"), 3))
@@ -273,17 +284,17 @@ def dead_letters(spark, sf_dir):
     return sinks.dead_letters(source.commands(spark, sf_dir).where(_poison()), F.lit("value is above 300"))
 
 
-@query(f"WITH {_COMMANDS} SELECT topic, partition_id, max(offset_value) + 1 AS next_offset FROM commands WHERE offset_value < {CUT} GROUP BY 1, 2 HAVING bool_and(NOT (partition_id = 1 AND offset_value = 700))")
+@query(f"WITH {_COMMANDS} SELECT topic, partition_id, offset_value // {BATCH} AS poll, max(offset_value) + 1 AS next_offset FROM commands GROUP BY 1, 2, 3 HAVING bool_and(NOT (partition_id = 1 AND offset_value = 700))")
 def commit_offsets(spark, sf_dir):
-    return sinks.commit_offsets(_delivered(spark, sf_dir))
+    """The offset that each whole poll of each log partition commits; a poll with a refused row commits none."""
+    return sinks.commit_offsets(_delivered(spark, sf_dir).withColumn("poll", batching.saturated_batch(BATCH)), ("topic", "partition_id", "poll"))
 
 
 def _delivered(spark, sf_dir):
-    rows = source.commands(spark, sf_dir).where(F.col("offset_value") < CUT)
-    return rows.withColumn("delivered", ~((F.col("partition_id") == 1) & (F.col("offset_value") == 700)))
+    return source.commands(spark, sf_dir).withColumn("delivered", ~((F.col("partition_id") == 1) & (F.col("offset_value") == 700)))
 
 
-@query(f"WITH {_COMMANDS} SELECT topic, partition_id, offset_value, account_number FROM commands WHERE offset_value < {CUT} AND NOT (partition_id = 1 AND offset_value >= 700)")
+@query(f"WITH {_COMMANDS} SELECT topic, partition_id, offset_value, account_number FROM commands WHERE NOT (partition_id = 1 AND offset_value >= 700)")
 def delivered_prefix(spark, sf_dir):
     return sinks.delivered_prefix(_delivered(spark, sf_dir)).select("topic", "partition_id", "offset_value", "account_number")
 
@@ -303,14 +314,19 @@ def store_diff(spark, sf_dir):
     return sinks.store_diff(ledger.balances(rows), ledger.balances(rows.where(~_poison())), ["account_number"], ["balance"])
 
 
-@query()
+@query(
+    f"""WITH {_COMMANDS}, quarters AS (SELECT *, offset_value // (SELECT max(offset_value) // 4 + 1 FROM commands) AS k FROM commands),
+committed AS (SELECT k, count(*) FILTER (amount >= -30000) AS changes, count(*) FILTER (amount < -30000) AS dead, max(offset_value) AS most FROM quarters GROUP BY 1)
+SELECT CAST(row_number() OVER (ORDER BY k) AS INTEGER) AS version, changes, dead, max(most) OVER (ORDER BY k) AS max_token FROM committed"""
+)
 def batch_commit_log(spark, sf_dir):
-    """Versions of a store after four batches and one that is sent again."""
-    rows = source.commands(spark, sf_dir).drop("value").where(F.col("offset_value") < 4 * BATCH)
+    """Versions of a store after the whole log in four batches, the third of which is sent again."""
+    rows = source.commands(spark, sf_dir).drop("value")
+    quarter = rows.agg(F.coalesce(F.max("offset_value"), F.lit(0))).first()[0] // 4 + 1
     store = LedgerStore(spark, _work_folder(spark, "store"))
     writer = LedgerWriter(store, PersistenceConfig(batch_size=BATCH), violation=F.when(F.col("amount") < -30_000, "amount is below -30000"))
     for k in (0, 1, 2, 2, 3):
-        writer.write(rows.where(batching.saturated_batch(BATCH) == k))
+        writer.write(rows.where(batching.saturated_batch(quarter) == k))
     return store.commit_log()
 
 
@@ -370,9 +386,10 @@ def saturated_batches(spark, sf_dir):
     return batching.batches(source.commands(spark, sf_dir), BATCH)
 
 
-@query(f"WITH {_COMMANDS} SELECT max(offset_value) AS batch_max_offset FROM commands WHERE offset_value < {BATCH}")
+@query(f"WITH {_COMMANDS} SELECT offset_value // {BATCH} AS batch, max(offset_value) AS batch_max_offset FROM commands GROUP BY 1")
 def batch_max_offset(spark, sf_dir):
-    return source.commands(spark, sf_dir).where(F.col("offset_value") < BATCH).agg(F.max("offset_value").alias("batch_max_offset"))
+    """The token that each batch over all log partitions would leave."""
+    return source.commands(spark, sf_dir).groupBy(batching.saturated_batch(BATCH).alias("batch")).agg(F.max("offset_value").alias("batch_max_offset"))
 
 
 @query(f"WITH {_COMMANDS} SELECT account_number, partition_id, count(*) AS changes FROM commands GROUP BY 1, 2 UNION ALL SELECT account_number, NULL, count(*) FROM commands GROUP BY 1 UNION ALL SELECT NULL, NULL, count(*) FROM commands")

@@ -82,9 +82,17 @@ def seek(frame: DataFrame, start: int | str) -> DataFrame:
     return frame.where(F.col("offset_value") >= start)
 
 
+def encoded(commands: DataFrame, into: str = "value") -> DataFrame:
+    """Keys and JSON text of commands, as the log holds them: what ``decoded`` reads back."""
+    fields = [f.split()[0] for f in COMMAND_SCHEMA.split(", ")]
+    rest = [c for c in commands.columns if c not in fields and c != into]
+    return commands.select(*rest, F.col("account_number").alias("key"), F.to_json(F.struct(*fields)).alias(into))
+
+
 def generated(spark: SparkSession, messages: int, accounts: int, shuffled: bool = False, seed: int = 42) -> DataFrame:
     """``messages`` credits of 1 dealt over ``accounts`` in turn, or the same in a seeded random order."""
-    order = F.xxhash64("id", F.lit(seed)) if shuffled else F.col("id")
+    mixed = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string"))), 1, 15), 16, 10).cast("long")
+    order = mixed if shuffled else F.col("id")
     return spark.range(messages).select(F.col("id").alias("message_id"), order.alias("send_order"), F.concat(F.lit("ACC-"), (F.col("id") % accounts).cast("string")).alias("account_number"), F.lit(1).cast("long").alias("amount"), F.lit("credit").alias("reason"))
 
 

@@ -135,6 +135,7 @@ def test_commits_only_whole_slices(spark):
 def test_replay_and_gaps(spark):
     rows = spark.createDataFrame([("t", 0, o, k) for k, o in enumerate([0, 1, 2, 1, 2, 3])], "topic string, partition_id int, offset_value long, applied_seq long")
     assert values(ledger.replayed(rows).orderBy("applied_seq"), "applied_seq") == [(3,), (4,)]
+    assert values(ledger.replayed(rows, chunk=2).orderBy("applied_seq"), "applied_seq") == [(3,), (4,)]
     gaps = ledger.offset_gaps(spark.createDataFrame([("t", 0, o) for o in (0, 1, 4)], "topic string, partition_id int, offset_value long"), chunk=2)
     assert values(gaps, "offset_value", "expected_offset") == [(4, 2)]
 
@@ -219,6 +220,28 @@ def test_store_diff(spark):
     assert found["k"].tolist() == ["b", "c", "d"] and found["v_two"].fillna(-1).tolist() == [3, -1, 4]
 
 
+def test_percentiles_across_slices(spark):
+    import random
+
+    rng = random.Random(1)
+    rows = [(k % 2, rng.choice([rng.randint(-5, 5), rng.randint(-10**6, 10**6)])) for k in range(3000)]
+    frame = spark.createDataFrame(rows, "g int, v long")
+    for groups in ([], ["g"]):
+        got = batching.percentiles(frame, "v", groups, {"p50": "0.5", "p99": "0.99", "p100": "1"}).collect()
+        for r in got:
+            own = sorted(v for g, v in rows if not groups or g == r["g"])
+            n = len(own)
+            assert (r["p50"], r["p99"], r["p100"]) == (own[n // 2], own[n * 99 // 100], own[-1])
+
+
+def test_commands_survive_json(spark):
+    rows = spark.createDataFrame([("t", 0, 1, "ACC-1", -5, 'a "quoted" one'), ("t", 1, 2, "ACC-2", 7, None)], "topic string, partition_id int, offset_value long, account_number string, amount long, reason string")
+    sent = source.encoded(rows)
+    assert sent.columns == ["topic", "partition_id", "offset_value", "key", "value"]
+    back = source.decoded(sent.drop("key"))
+    assert sorted(map(tuple, back.select(rows.columns).collect())) == sorted(map(tuple, rows.collect()))
+
+
 def test_decoding(spark):
     rows = spark.createDataFrame([(1, '{"account_number":"A","amount":2,"reason":null}'), (2, "no json"), (3, None)], "n int, value string")
     assert values(source.decoded(rows).orderBy("n"), "account_number", "amount") == [("A", 2), (None, None), (None, None)]
