@@ -30,6 +30,14 @@ class UnrecoverableError(Exception):
     """The writer has to stop; a restart resumes from the committed token."""
 
 
+class FencedError(UnrecoverableError):
+    """Somebody else has moved the tokens of ``partitions``: (topic, partition_id) pairs."""
+
+    def __init__(self, partitions: list[tuple[str, int]]):
+        super().__init__("fenced: " + ", ".join(f"{topic}-{partition}" for topic, partition in partitions))
+        self.partitions = partitions
+
+
 @dataclass(frozen=True)
 class PersistenceConfig:
     """How a pipeline writes: rows per batch, and repeats of a batch after transient errors."""

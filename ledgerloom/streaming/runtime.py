@@ -19,7 +19,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..model import NO_TOKEN, PersistenceConfig, PipelineSpec, TransientError, UnrecoverableError
+from ..model import NO_TOKEN, FencedError, PersistenceConfig, PipelineSpec, TransientError, UnrecoverableError
 from ..operators import fencing, ledger, sinks
 from ..sources import commands
 from .store import LedgerStore, Version
@@ -60,13 +60,36 @@ class LedgerWriter:
         return self.held
 
     def write(self, batch: DataFrame) -> Version:
-        """Commit one batch; transient errors repeat it, what remains of them is unrecoverable."""
-        held = self.held or self.start()
-        attempt = 0
+        """Commit one batch; transient errors repeat it, what remains of them is unrecoverable.
+
+        Log partitions that others have taken over drop out, the rest of the batch is committed, and
+        only then does the write fail with the names of those that were lost.
+        """
+        held, lost = self.held or self.start(), []
         while True:
             try:
-                version, fresh = self._transaction(held, batch)
+                version, fresh = self._repeated(held, batch)
                 break
+            except FencedError as error:
+                self.metrics.add("fenced", len(error.partitions))
+                lost += error.partitions
+                taken = partition_rows(self.store.spark, error.partitions)
+                batch = batch.join(F.broadcast(taken), ["topic", "partition_id"], "left_anti")
+        self.held = version
+        if fresh is not None:
+            self.metrics.add("batches")
+            self.held = self.store.tidy(version)
+            if self.after_commit is not None:
+                self.after_commit(fresh)
+        if lost:
+            raise FencedError(lost)
+        return self.held
+
+    def _repeated(self, held: Version, batch: DataFrame) -> tuple[Version, DataFrame | None]:
+        attempt = 0
+        while True:
+            try:
+                return self._transaction(held, batch)
             except TransientError as error:
                 attempt += 1
                 self.metrics.add("transient")
@@ -77,12 +100,6 @@ class LedgerWriter:
             except UnrecoverableError:
                 self.metrics.add("unrecoverable")
                 raise
-        self.held = version
-        if fresh is not None:
-            self.metrics.add("batches")
-            if self.after_commit is not None:
-                self.after_commit(fresh)
-        return version
 
     def _transaction(self, held: Version, batch: DataFrame) -> tuple[Version, DataFrame | None]:
         store, violation = self.store, self.violation if self.violation is not None else sinks.violation()
@@ -95,31 +112,42 @@ class LedgerWriter:
             # the writer halts at a log partition's first poison record
             first = checked.where("__violation is not null").groupBy("topic", "partition_id").agg(F.min("offset_value").alias("__first"))
             checked = checked.join(F.broadcast(first), ["topic", "partition_id"], "left").where("__first is null or offset_value <= __first").drop("__first")
-        staged = store.stage("batch", checked.select("topic", "partition_id", "offset_value", "account_number", "amount", "reason", "__violation"))
-        kept = store.spark.read.parquet(f"{store.folder}/{staged}")
-        # a row for each log partition
-        ends = kept.groupBy("topic", "partition_id").agg(F.max("offset_value").alias("last"), F.count_if(F.col("__violation").isNull()).alias("good"), F.count_if(F.col("__violation").isNotNull()).alias("bad")).collect()
-        if not ends:
+        staged, written = store.stage("batch", checked.select("topic", "partition_id", "offset_value", "account_number", "amount", "reason", "__violation")), []
+        try:
+            kept = store.spark.read.parquet(f"{store.folder}/{staged}")
+            # a row for each log partition
+            ends = kept.groupBy("topic", "partition_id").agg(F.max("offset_value").alias("last"), F.count_if(F.col("__violation").isNull()).alias("good"), F.count_if(F.col("__violation").isNotNull()).alias("bad")).collect()
+            if not ends:
+                return held, None
+            good, bad = kept.where("__violation is null").drop("__violation"), kept.where("__violation is not null")
+            if self.before_persist is not None:
+                self.before_persist(good)
+            n_good, n_bad = sum(r["good"] for r in ends), sum(r["bad"] for r in ends)
+
+            def stage(kind: str, rows: DataFrame) -> list[str]:
+                written.append(store.stage(kind, rows))
+                return written[-1:]
+
+            changes = stage("changes", ledger.ledger_changes(good, opening=store.balances(held, good))) if n_good else []
+            balances = stage("balances", ledger.balances(good)) if n_good else []
+            dead = stage("dead", sinks.dead_letters(bad, F.col("__violation"))) if n_bad else []
+            version = store.publish(held, changes, balances, dead, {(r["topic"], r["partition_id"]): r["last"] for r in ends}, {"changes": n_good, "dead": n_bad})
+        except BaseException:
+            for name in written:  # no version lists them
+                store.discard(name)
+            raise
+        finally:
             store.discard(staged)
-            return held, None
-        good, bad = kept.where("__violation is null").drop("__violation"), kept.where("__violation is not null")
-        if self.before_persist is not None:
-            self.before_persist(good)
-        opening = store.balances(held)
-        n_good, n_bad = sum(r["good"] for r in ends), sum(r["bad"] for r in ends)
-        changes, balances, dead = [], None, []
-        if n_good:
-            changes = [store.stage("changes", ledger.ledger_changes(good, opening=opening))]
-            balances = [store.stage("balances", sinks.upsert_additive(opening, good))]
-        if n_bad:
-            dead = [store.stage("dead", sinks.dead_letters(bad, F.col("__violation")))]
-            self.metrics.add("dead_letters", n_bad)
-        version = store.publish(held, changes, balances, dead, {(r["topic"], r["partition_id"]): r["last"] for r in ends}, {"changes": n_good, "dead": n_bad})
-        store.discard(staged)
+        self.metrics.add("dead_letters", n_bad)
         self.metrics.add("changes", n_good)
         return version, store._read("changes", changes)
 
 
+def partition_rows(spark: SparkSession, partitions: list[tuple[str, int]]) -> DataFrame:
+    """Log partitions as rows."""
+    return spark.createDataFrame(sorted(partitions), "topic string, partition_id int")
+
+
 class Pipeline:
     """A running query that feeds a writer; a failed one is started again from the committed tokens."""
 

@@ -5,7 +5,7 @@ import threading
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.model import PersistenceConfig, PipelineSpec, TransientError, UnrecoverableError
+from ledgerloom.model import FencedError, PersistenceConfig, PipelineSpec, TransientError, UnrecoverableError
 from ledgerloom.operators import ledger
 from ledgerloom.plans.queries import QUERIES
 from ledgerloom.sources import commands as source
@@ -210,3 +210,60 @@ def test_registered_queries_run(spark):
         assert QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
     log = QUERIES["batch_commit_log"](spark, "/root/testdata/sf0.001").collect()
     assert len({r["version"] for r in log}) == len(log)
+
+
+def two_partitions(spark, n=3):
+    return source.signed(spark, [("A", 1, "")] * n).unionByName(source.signed(spark, [("B", 1, "")] * n, partition=1))
+
+
+def test_a_fence_on_one_partition_leaves_the_others(spark, store):
+    rows, old, new = two_partitions(spark), LedgerWriter(store), LedgerWriter(store)
+    old.start()
+    new.start()
+    new.write(rows.where("partition_id = 1 and offset_value < 2"))
+    with pytest.raises(FencedError) as fence:
+        old.write(rows)
+    assert fence.value.partitions == [("ledger-events", 1)]
+    assert balances(store) == {"A": 3, "B": 2}
+    # the loser never adopts what it lost by committing something else
+    with pytest.raises(FencedError):
+        old.write(rows.where("partition_id = 1"))
+    new.start()  # takes over both
+    new.write(rows)
+    assert balances(store) == {"A": 3, "B": 3} and ledger.out_of_order(store.changes()).count() == 0
+
+
+def test_writers_of_different_partitions_share_a_store(spark, store):
+    rows, writers = two_partitions(spark, 6), [LedgerWriter(store), LedgerWriter(store)]
+    failed = []
+
+    def run(p):
+        try:
+            for k in range(0, 6, 2):
+                writers[p].write(rows.where(f"partition_id = {p} and offset_value >= {k} and offset_value < {k + 2}"))
+        except Exception as error:  # noqa: BLE001
+            failed.append(error)
+
+    threads = [threading.Thread(target=run, args=(p,)) for p in (0, 1)]
+    for w in writers:
+        w.start()
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert not failed and balances(store) == {"A": 6, "B": 6}
+    last = {r["account_number"]: r["balance"] for r in ledger.latest_per_account(store.changes()).collect()}
+    assert last == {"A": 6, "B": 6} and len(store.history()) == 6
+
+
+def test_tiers_bound_the_manifest(spark, store):
+    held, total = store.current(), 0
+    for k in range(9):
+        rows = source.signed(spark, [("A", k, "")]).withColumn("offset_value", F.lit(k).cast("long"))
+        held = store.publish(held, [store.stage("changes", ledger.ledger_changes(rows))], [store.stage("balances", ledger.balances(rows))], tokens={("ledger-events", 0): k}, rows={"changes": 1})
+        held, total = store.tidy(held, together=3), total + k
+        assert max(len(held.changes), len(held.balances)) <= 5
+        assert (balances(store), store.changes().count()) == ({"A": total}, k + 1)
+    assert store.commit_log().count() == 9 and held.tokens == {("ledger-events", 0): 8}
+    assert store.expire() > 0 and len(store.history()) == 1
+    assert (balances(store), store.changes().count()) == ({"A": 36}, 9)
