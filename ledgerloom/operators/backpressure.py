@@ -57,6 +57,15 @@ def rejected(samples: DataFrame, marks: Watermarks, **more) -> DataFrame:
     return with_state(samples, marks, **more).where("was_engaged").drop("engaged", "was_engaged")
 
 
+def admitted(samples: DataFrame, marks: Watermarks, strategy: str = "THROW", **more) -> DataFrame:
+    """Each row with its ``outcome``: QUEUED, or while backpressure is engaged what the strategy does with it.
+
+    THROW refuses it (REJECTED); CALLER_RUNS has it done by who brings it (RAN_BY_CALLER), so it's late but not lost.
+    """
+    engaged = {"THROW": "REJECTED", "CALLER_RUNS": "RAN_BY_CALLER"}[strategy]
+    return with_state(samples, marks, **more).withColumn("outcome", F.when(F.col("was_engaged"), engaged).otherwise("QUEUED")).drop("engaged", "was_engaged")
+
+
 def pauses(samples: DataFrame, marks: Watermarks, **more) -> DataFrame:
     """For each engagement where it began and where it was released; null if it never was."""
     turned = edges(samples, marks, **more)

@@ -135,6 +135,17 @@ def gen_shuffled(spark, sf_dir):
     return source.generated(spark, 150_000, 1_500, shuffled=True).orderBy("send_order", "message_id")
 
 
+@query("""SELECT 'ledger-events' AS topic, CAST(0 AS INTEGER) AS partition_id, i AS offset_value, 'ACC-' || CASE WHEN i >= 100000 THEN 0 ELSE i % 1500 END AS account_number,
+CAST(CASE WHEN i >= 100000 THEN 1 WHEN i % 2 = 1 THEN -(i % 97 + 1) ELSE i % 97 + 1 END AS BIGINT) AS amount, CASE WHEN i >= 100000 THEN 'flood' WHEN i % 2 = 1 THEN 'debit' ELSE 'credit' END AS reason FROM range(150000) t(i)""")
+def gen_signed(spark, sf_dir):
+    return source.signed_load(spark, 150_000, 1_500, flood_from=100_000)
+
+
+@query(f"""WITH {_COMMANDS} SELECT topic, partition_id, offset_value, account_number AS key, '{{"account_number":"' || account_number || '","amount":' || amount || ',"reason":"' || reason || '"}}' AS message FROM commands""")
+def encode_json(spark, sf_dir):
+    return source.encoded(source.commands(spark, sf_dir).drop("value"), into="message")
+
+
 #: The key hash in SQL, for ASCII keys: four bytes at a time from the left, then the rest, then the finish.
 _M, _MASK = "1540483477::UBIGINT", "4294967295::UBIGINT"
 _MURMUR2 = f"""bytes AS (SELECT account_number, list_transform(string_split(account_number, ''), lambda c: ascii(c)::UBIGINT) AS b FROM (SELECT DISTINCT account_number FROM commands)),
@@ -566,6 +577,11 @@ def reject_while_engaged(spark, sf_dir):
     return backpressure.rejected(_depths(spark, sf_dir), MARKS)
 
 
+@query(f"WITH {_DEPTHS}, {_stated('samples')} SELECT topic, partition_id, offset_value, depth, CASE WHEN before = 1 THEN 'RAN_BY_CALLER' ELSE 'QUEUED' END AS outcome FROM stated")
+def caller_runs_while_engaged(spark, sf_dir):
+    return backpressure.admitted(_depths(spark, sf_dir), MARKS, "CALLER_RUNS")
+
+
 @query(f"WITH {_DEPTHS}, {_stated('samples')}, turned AS (SELECT *, lead(offset_value) OVER (PARTITION BY topic, partition_id ORDER BY offset_value) AS resumed_at FROM stated WHERE now <> before) SELECT topic, partition_id, offset_value AS paused_at, resumed_at FROM turned WHERE now = 1")
 def pause_intervals(spark, sf_dir):
     return backpressure.pauses(_depths(spark, sf_dir), MARKS)

@@ -5,10 +5,13 @@ A command row has ``topic, partition_id, offset_value, account_number, amount, r
 
 from __future__ import annotations
 
+import json
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..model import COMMAND_SCHEMA, TOPIC
+from ..model import COMMAND_SCHEMA, NO_TOKEN, TOPIC
 
 #: Rows of the input that one window task numbers at most (for each log partition).
 NUMBERED_TOGETHER = 1_000_000
@@ -56,19 +59,31 @@ def file_stream(spark: SparkSession, folder: str, files_per_batch: int = 1, sche
     return spark.readStream.schema(schema or f"topic string, partition_id int, offset_value long, {COMMAND_SCHEMA}").option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
-def log_stream(spark: SparkSession, servers: str, topic: str, starting: str = "earliest", rows_per_batch: int | None = None) -> DataFrame:
-    """Commands from the log connector of Spark, which has to be on the class path."""
-    reader = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).option("startingOffsets", starting)
+def starting_offsets(topic: str, partitions: Sequence[int], tokens: dict[tuple[str, int], int]) -> str:
+    """Where the log connector starts: behind each log partition's token, at the beginning (-2) where there is none."""
+    return json.dumps({topic: {str(p): tokens[topic, p] + 1 if tokens.get((topic, p), NO_TOKEN) >= 0 else -2 for p in partitions}})
+
+
+def _log(reader, connector: str, servers: str, topic: str, starting: str, partitions: Sequence[int] | None):
+    reader = reader.format(connector).option("kafka.bootstrap.servers", servers).option("startingOffsets", starting)
+    return reader.option("subscribe", topic) if partitions is None else reader.option("assign", json.dumps({topic: list(partitions)}))
+
+
+def _log_rows(rows: DataFrame) -> DataFrame:
+    return decoded(rows.select("topic", F.col("partition").alias("partition_id"), F.col("offset").alias("offset_value"), "value"))
+
+
+def log_stream(spark: SparkSession, servers: str, topic: str, starting: str = "earliest", rows_per_batch: int | None = None, partitions: Sequence[int] | None = None, connector: str = "kafka") -> DataFrame:
+    """Commands from the log connector of Spark, which has to be on the class path: all log partitions, or those assigned here."""
+    reader = _log(spark.readStream, connector, servers, topic, starting, partitions)
     if rows_per_batch:
         reader = reader.option("maxOffsetsPerTrigger", rows_per_batch)
-    rows = reader.load().select("topic", F.col("partition").alias("partition_id"), F.col("offset").alias("offset_value"), "value")
-    return decoded(rows)
+    return _log_rows(reader.load())
 
 
-def log_batch(spark: SparkSession, servers: str, topic: str, starting: str = "earliest", ending: str = "latest") -> DataFrame:
+def log_batch(spark: SparkSession, servers: str, topic: str, starting: str = "earliest", ending: str = "latest", partitions: Sequence[int] | None = None, connector: str = "kafka") -> DataFrame:
     """A bounded read of the log: from ``starting`` to what ``ending`` is when it begins."""
-    reader = spark.read.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).option("startingOffsets", starting).option("endingOffsets", ending)
-    return decoded(reader.load().select("topic", F.col("partition").alias("partition_id"), F.col("offset").alias("offset_value"), "value"))
+    return _log_rows(_log(spark.read, connector, servers, topic, starting, partitions).option("endingOffsets", ending).load())
 
 
 def seek(frame: DataFrame, start: int | str) -> DataFrame:
@@ -99,3 +114,13 @@ def generated(spark: SparkSession, messages: int, accounts: int, shuffled: bool
 def signed(spark: SparkSession, rows: list[tuple[str, int, str]], topic: str = TOPIC, partition: int = 0) -> DataFrame:
     """Hand-written commands at offsets 0, 1, 2, ... of one partition: (account, signed amount, reason)."""
     return spark.createDataFrame([(topic, partition, k, *row) for k, row in enumerate(rows)], f"topic string, partition_id int, offset_value long, {COMMAND_SCHEMA}")
+
+
+def signed_load(spark: SparkSession, messages: int, accounts: int, flood_from: int) -> DataFrame:
+    """Credits and debits in turn at offsets 0, 1, 2, ... of one partition, and from ``flood_from`` on a flood of credits to one account."""
+    n = F.col("id")
+    flood, debit = n >= flood_from, n % 2 == 1
+    amount = F.when(flood, F.lit(1)).when(debit, -F.abs(n % 97 + 1)).otherwise(F.abs(n % 97 + 1))
+    account = F.concat(F.lit("ACC-"), F.when(flood, F.lit(0)).otherwise(n % accounts).cast("string"))
+    reason = F.when(flood, "flood").when(debit, "debit").otherwise("credit")
+    return spark.range(messages).select(F.lit(TOPIC).alias("topic"), F.lit(0).alias("partition_id"), n.alias("offset_value"), account.alias("account_number"), amount.cast("long").alias("amount"), reason.alias("reason"))

@@ -13,7 +13,8 @@ from __future__ import annotations
 
 import threading
 import time
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -149,19 +150,47 @@ def partition_rows(spark: SparkSession, partitions: list[tuple[str, int]]) -> Da
 
 
 class Pipeline:
-    """A running query that feeds a writer; a failed one is started again from the committed tokens."""
+    """A running query that feeds a writer; a failed one is started again from the committed tokens.
+
+    A pipeline handles all log partitions, or those that are assigned to it.  A change of the assignment ends
+    the query and starts another from a checkpoint of its own, since rows that weren't its own are behind it in the old one; the tokens
+    drop what is committed already, and fence a pipeline that still writes to a log partition it lost.
+    """
 
     def __init__(self, spec: PipelineSpec, source: Callable[[], DataFrame], writer: LedgerWriter, checkpoint: str, max_restarts: int = 10, sleep: Callable[[float], None] = time.sleep):
         self.spec, self.source, self.writer, self.checkpoint = spec, source, writer, checkpoint
         self.max_restarts, self.sleep, self.restarts, self.query = max_restarts, sleep, 0, None
+        self.owned: frozenset[int] | None = None
 
     def _batch(self, frame: DataFrame, _: int) -> None:
-        self.writer.write(frame)
+        self.writer.write(frame if self.owned is None else frame.where(F.col("partition_id").isin(sorted(self.owned))))
+
+    def _rebalanced(self, owned: frozenset[int], metric: str, n: int) -> None:
+        running = self.running
+        self.stop()
+        self.owned = owned
+        self.writer.metrics.add(metric, n)
+        if running:
+            self.start(once=False)
+
+    def assign(self, partitions: Iterable[int]) -> None:
+        """Take over more log partitions; a pipeline that had all has these alone from now on."""
+        more = frozenset(partitions) - (self.owned or frozenset())
+        self._rebalanced((self.owned or frozenset()) | more, "assigned", len(more))
+
+    def revoke(self, partitions: Iterable[int], lost: bool = False) -> None:
+        """Give up log partitions, before another takes them over or, if they are ``lost``, after."""
+        if self.owned is None:
+            raise ValueError("only assigned log partitions can be revoked")
+        gone = self.owned & frozenset(partitions)
+        self._rebalanced(self.owned - gone, "lost" if lost else "revoked", len(gone))
 
     def start(self, once: bool = True):
         """Start a query from the checkpoint; the writer takes its tokens from the store."""
         self.writer.start()
-        stream = self.source().writeStream.foreachBatch(self._batch).option("checkpointLocation", self.checkpoint).queryName(self.spec.name)
+        # an assignment that comes back has missed rows in between, so its checkpoint is never taken up again within this process
+        folder = self.checkpoint if self.owned is None else f"{self.checkpoint}/owned-{uuid.uuid4().hex}"
+        stream = self.source().writeStream.foreachBatch(self._batch).option("checkpointLocation", folder).queryName(self.spec.name)
         self.query = (stream.trigger(availableNow=True) if once else stream).start()
         return self.query
 
