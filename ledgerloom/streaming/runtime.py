@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from ..model import NO_TOKEN, FencedError, PersistenceConfig, PipelineSpec, TransientError, UnrecoverableError
 from ..operators import fencing, ledger, sinks
 from ..sources import commands
+from .metrics import Metrics
 from .store import LedgerStore, Version
 
 
@@ -31,16 +32,6 @@ def retry_delay_ms(attempt: int) -> int:
     return min(50 << min(attempt - 1, 20), 5_000)
 
 
-@dataclass
-class Metrics:
-    """Counters of one pipeline."""
-
-    counts: dict[str, int] = field(default_factory=dict)
-
-    def add(self, name: str, n: int = 1) -> None:
-        self.counts[name] = self.counts.get(name, 0) + n
-
-
 @dataclass
 class LedgerWriter:
     """Writes batches of commands to a store, one writer for each store at a time."""
@@ -139,8 +130,10 @@ class LedgerWriter:
             raise
         finally:
             store.discard(staged)
+        self.metrics.add("enqueued", n_good + n_bad)
         self.metrics.add("dead_letters", n_bad)
         self.metrics.add("changes", n_good)
+        self.metrics.gauge("depth", n_good + n_bad)
         return version, store._read("changes", changes)
 
 
@@ -159,6 +152,7 @@ class Pipeline:
 
     def __init__(self, spec: PipelineSpec, source: Callable[[], DataFrame], writer: LedgerWriter, checkpoint: str, max_restarts: int = 10, sleep: Callable[[float], None] = time.sleep):
         self.spec, self.source, self.writer, self.checkpoint = spec, source, writer, checkpoint
+        self.writer.metrics.component = spec.name
         self.max_restarts, self.sleep, self.restarts, self.query = max_restarts, sleep, 0, None
         self.owned: frozenset[int] | None = None
 

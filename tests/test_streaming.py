@@ -205,6 +205,21 @@ def test_state_processor_equals_the_window(spark, tmp_path):
     assert listener.total("started") == 1
 
 
+def test_metrics_count_what_a_pipeline_does(spark, store):
+    lines = []
+    writer = LedgerWriter(store, metrics=metrics.Metrics("one", lines.append))
+    writer.write(source.signed(spark, POISON))
+    edges = spark.createDataFrame([("ENGAGED",), ("RELEASED",), ("ENGAGED",)], "edge string")
+    writer.metrics.add_outcomes(edges)
+    writer.metrics.add_outcomes(spark.createDataFrame([("QUEUED",), ("REJECTED",), ("RAN_BY_CALLER",), ("REJECTED",)], "outcome string"), "outcome")
+    assert writer.metrics.counts == {"enqueued": 10, "batches": 1, "changes": 9, "dead_letters": 1, "engaged": 2, "paused": 2, "released": 1, "resumed": 1, "rejected": 2, "ran_by_caller": 1}
+    assert writer.metrics.gauges == {"depth": 10} and '{"component": "one", "metric": "changes", "add": 9}' in lines
+    with pytest.raises(ValueError):
+        writer.metrics.add("nonsense")
+    with pytest.raises(ValueError):
+        writer.metrics.gauge("nonsense", 1)
+
+
 def test_registered_queries_run(spark):
     for name in ("batch_commit_log", "partition_of_key", "gen_shuffled"):
         assert QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
