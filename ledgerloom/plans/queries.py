@@ -332,7 +332,9 @@ SELECT CAST(row_number() OVER (ORDER BY k) AS INTEGER) AS version, changes, dead
 )
 def batch_commit_log(spark, sf_dir):
     """Versions of a store after the whole log in four batches, the third of which is sent again."""
-    rows = source.commands(spark, sf_dir).drop("value")
+    log = _work_folder(spark, "log")
+    source.commands(spark, sf_dir).drop("value").write.parquet(log)
+    rows = spark.read.parquet(log)
     quarter = rows.agg(F.coalesce(F.max("offset_value"), F.lit(0))).first()[0] // 4 + 1
     store = LedgerStore(spark, _work_folder(spark, "store"))
     writer = LedgerWriter(store, PersistenceConfig(batch_size=BATCH), violation=F.when(F.col("amount") < -30_000, "amount is below -30000"))

@@ -15,6 +15,7 @@ import threading
 import time
 import uuid
 from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -117,12 +118,19 @@ class LedgerWriter:
             n_good, n_bad = sum(r["good"] for r in ends), sum(r["bad"] for r in ends)
 
             def stage(kind: str, rows: DataFrame) -> list[str]:
-                written.append(store.stage(kind, rows))
-                return written[-1:]
-
-            changes = stage("changes", ledger.ledger_changes(good, opening=store.balances(held, good))) if n_good else []
-            balances = stage("balances", ledger.balances(good)) if n_good else []
-            dead = stage("dead", sinks.dead_letters(bad, F.col("__violation"))) if n_bad else []
+                name = store.stage(kind, rows)
+                written.append(name)
+                return [name]
+
+            wanted = {}
+            if n_good:
+                wanted = {"changes": ledger.ledger_changes(good, opening=store.balances(held, good)), "balances": ledger.balances(good)}
+            if n_bad:
+                wanted["dead"] = sinks.dead_letters(bad, F.col("__violation"))
+            # independent jobs, so they fill each other's gaps; leaving the block waits for all of them, failed or not
+            with ThreadPoolExecutor(3) as pool:
+                jobs = {kind: pool.submit(stage, kind, rows) for kind, rows in wanted.items()}
+            changes, balances, dead = (jobs[kind].result() if kind in jobs else [] for kind in ("changes", "balances", "dead"))
             version = store.publish(held, changes, balances, dead, {(r["topic"], r["partition_id"]): r["last"] for r in ends}, {"changes": n_good, "dead": n_bad})
         except BaseException:
             for name in written:  # no version lists them

@@ -1,6 +1,7 @@
 """Store, writer and streams: exactly-once through failures, rival writers and replays."""
 
 import threading
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -271,6 +272,17 @@ def test_writers_of_different_partitions_share_a_store(spark, store):
     assert last == {"A": 6, "B": 6} and len(store.history()) == 6
 
 
+def test_tokens_tell_when_they_moved(spark, store):
+    rows, writer = two_partitions(spark), LedgerWriter(store)
+    writer.write(rows)
+    first = {r["partition_id"]: r["updated_at"] for r in store.token_stamps().collect()}
+    time.sleep(0.01)
+    writer.write(source.signed(spark, [("B", 1, "")] * 4, partition=1))
+    store.compact(store.current())
+    second = {r["partition_id"]: (r["num_offset"], r["updated_at"]) for r in store.token_stamps().collect()}
+    assert second[0] == (2, first[0]) and second[1][0] == 3 and second[1][1] > first[1]
+
+
 def test_tiers_bound_the_manifest(spark, store):
     held, total = store.current(), 0
     for k in range(9):
