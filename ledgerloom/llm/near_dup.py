@@ -251,7 +251,9 @@ def near_duplicate_links(docs: DataFrame, signed: DataFrame, config: NearDupConf
         place = own.join(sizes, "bucket").select("doc_id", F.col("bucket").alias("family"), "blocks")
         links = _compared(sets.where(F.col("blocks") <= config.family_blocks), config).unionByName(_compared(sets.select("doc_id", "hashes").join(place, "doc_id"), config))
     copies = named.join(classes.select("norm", F.col("doc_id").alias("first")), "norm").where("doc_id > first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
-    return links.unionByName(copies)
+    # written first: a second Python operator in the linker's stage would take a second worker for each core, and executors
+    # hand all workers they ever started to later stages in turn, so that each of them comes to hold every stage's tables
+    return cut(links).unionByName(copies)
 
 
 def near_duplicates(docs: DataFrame, config: NearDupConfig | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

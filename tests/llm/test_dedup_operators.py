@@ -128,6 +128,22 @@ def test_survivors_lose_no_similar_pair():
     assert not any(signs[k][1] < 0.4 for k in alive)
 
 
+def test_links_and_their_forests_need_one_python_worker_a_core(spark, monkeypatch):
+    # two Python operators in one stage take two workers for each core, which stay for all later stages
+    plans, parts = [], near_dup.connected_components
+
+    def seen(links, a, b):
+        plans.append(links._jdf.queryExecution().executedPlan().toString())
+        return parts(links, a, b)
+
+    monkeypatch.setattr(near_dup, "connected_components", seen)
+    same = " ".join(f"word{k}" for k in range(60))
+    docs = spark.createDataFrame([(1, same), (2, same + " more"), (3, same), (4, "something else that is not the same")], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(docs).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4}
+    assert len(plans) == 2 and not [p for p in plans if "MapInArrow" in p]
+
+
 # ------------------------------------------------------------------ vectors
 
 
