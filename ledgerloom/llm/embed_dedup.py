@@ -1,22 +1,19 @@
-"""Near-duplicate vectors: spherical k-means cells, blocked cosine products within cells.
+"""Near-duplicate vectors: spherical k-means cells, blocked cosine products of what is near the planes between them.
 
 1. Equal vectors become one class, represented by the least id, with a multiplicity.
 2. Spherical k-means, fitted on a bounded sample by hash order (``sample``), gives the cells, one for each ``cell_rows``
-   classes, ``cells_a_sample`` times the sample at most.
-   Every class goes to the cell of its nearest centroid, its *home*, and as a guest to each lower-numbered
-   cell whose bisecting plane with the home is within ``reach``.  So a
-   linked pair meets in one cell exactly, the lower of the two homes.
-   More cells save products only as long as few vectors are guests: the number of cells is halved
-   while those of a sample would be guests in more than ``guests`` cells on average.
-3. Cells are cut into blocks of bounded size; each task gets one pair of blocks and
-   multiplies them.  No pair is emitted: a task gives each class its number of links and,
-   for each part that its links connect, ties to one member.
-4. Ties make components; counts are added up.
+   classes, ``cells_a_sample`` times the sample at most.  Every class goes to the cell of its nearest centroid.
+3. Cells are packed into blocks of bounded size, larger cells cut into several, and each class is written once, to its
+   block's folder in the shared folder.  A task gets a tile of pairs of blocks, a few numbers, and reads them: what is
+   stored grows with the vectors, not with the pairs.
+4. Of two cells, a linked pair's steps from the bisecting plane add up to ``reach`` at most.  Rows are
+   sorted by their step and multiplied only with those whose step leaves them in reach; within a cell all are.
+   No pair is emitted: a tile gives each class its number of links and, for each part that its links connect, a forest.
+5. Forests make components; counts are added up.
 
 Two unit vectors of cosine t are 2 - 2t apart, squared.  ``reach`` is that distance in any number of dimensions, as
-the step of a linked pair across a plane is never longer: no pair is lost, whatever direction it differs in.  In many dimensions
-nearly every vector is that near to some plane; then few cells are left, most vectors are guests, and
-the products come near to those of all pairs, in blocks.
+the steps of a linked pair to a plane between them are never longer together: no pair is lost, whatever direction it differs in.
+The more cells, the fewer products are left; their number still grows faster than the vectors.
 
 Defined results: null, zero or empty vectors and those with a null or non-finite component
 are linked with nothing, nor are vectors of different length.  Rows that share an id are one node; a null id is linked
@@ -27,6 +24,7 @@ id and vector are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,9 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, cut
-from .components import connected_components
-from .near_dup import grouped
+from .common import bounded, cut, delete_folder, fresh_folder
+from .components import connected_components, forest
 
 
 @dataclass(frozen=True)
@@ -47,9 +44,10 @@ class EmbedConfig:
     cell_rows: int = 1500
     cells_a_sample: float = 0.25
     rounds: int = 8
-    guests: float = 4.0
+    guests: float = math.inf  # the number of cells is halved while a vector is near the planes of more cells on average
     block: int = 2048
-    guest_block: int = 8192
+    block_bytes: int = 8 << 20  # as doubles; blocks grow to that size with the vectors
+    tiles: int = 64  # of blocks, either way
 
     @property
     def reach(self) -> float:
@@ -81,10 +79,27 @@ def _prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import pyarrow.compute  # noqa: F401
 
     for batch in batches:
-        rows = unit_rows(batch.column(1))
-        unit = [None if v is None else v.tobytes() for v in rows]
-        key = [None if u is None else hashlib.blake2b(u, digest_size=16).digest() for u in unit]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(key, pa.binary()), pa.array(unit, pa.binary()), pa.array([0 if v is None else len(v) for v in rows], pa.int32())], names=["vec_id", "key", "unit", "dims"])
+        column = batch.column(1)
+        rows = unit_rows(column)
+        flat = column.flatten().to_numpy(zero_copy_only=False)
+        flat = flat.astype("<f4" if column.type.value_type == pa.float32() else "<f8")
+        ends = np.cumsum([n or 0 for n in pa.compute.list_value_length(column).to_pylist()]).tolist()
+        raw = [None if v is None else flat[e - len(v) : e].tobytes() for v, e in zip(rows, ends)]
+        key = [None if v is None else hashlib.blake2b(v.tobytes(), digest_size=16).digest() for v in rows]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(key, pa.binary()), pa.array(raw, pa.binary()), pa.array([0 if v is None else len(v) for v in rows], pa.int32())], names=["vec_id", "key", "raw", "dims"])
+
+
+def unit_matrix(raw: list[bytes], dims: int) -> np.ndarray:
+    """Vectors of one length, kept as they were given, as rows of length 1."""
+    rows = np.frombuffer(b"".join(raw), "<f4" if len(raw[0]) == 4 * dims else "<f8").astype(np.float64).reshape(len(raw), dims)
+    rows /= np.abs(rows).max(axis=1, keepdims=True)
+    rows /= np.sqrt(np.einsum("ij,ij->i", rows, rows))[:, None]
+    return rows
+
+
+def homes(rows: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """Each row's nearest centroid."""
+    return np.concatenate([(rows[a : a + 1024] @ centroids.T).argmax(axis=1) for a in range(0, len(rows), 1024)])
 
 
 def spherical_kmeans(rows: np.ndarray, k: int, rounds: int) -> np.ndarray:
@@ -92,7 +107,7 @@ def spherical_kmeans(rows: np.ndarray, k: int, rounds: int) -> np.ndarray:
     rng = np.random.default_rng(11)
     centroids = rows[rng.choice(len(rows), k, replace=False)]
     for _ in range(rounds):
-        cell = (rows @ centroids.T).argmax(axis=1)
+        cell = homes(rows, centroids)
         total = np.zeros_like(centroids)
         np.add.at(total, cell, rows)
         size = np.linalg.norm(total, axis=1, keepdims=True)
@@ -117,34 +132,43 @@ def cells_for(sample: np.ndarray, k: int, config: EmbedConfig) -> np.ndarray:
     while True:
         centroids = spherical_kmeans(sample, k, config.rounds)
         some = sample[:4000]
-        if k == 1 or _guest_at(some, centroids, _apart(centroids), config.reach)[1].sum() <= config.guests * len(some):
+        if k == 1 or config.guests >= k or _guest_at(some, centroids, _apart(centroids), config.reach)[1].sum() <= config.guests * len(some):
             return centroids
         k = max(1, k // 2)
 
 
-def _dealer(centroids: np.ndarray, reach: float):
-    apart = _apart(centroids)
+def placed(sizes: list[float], rows: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Each cell's first block, its number of blocks, and the number of all blocks; small neighbours share one."""
+    first, parts, block, room = [], [], -1, 0.0
+    for size in sizes:
+        many = max(1, math.ceil(size / rows))
+        if many == 1 and size <= room:
+            room -= size
+        else:
+            block += 1
+            room = rows - size if many == 1 else 0.0
+        first.append(block)
+        parts.append(many)
+        block += many - 1
+    return np.array(first, np.int64), np.array(parts, np.int64), block + 1
+
+
+def _dealer(centroids: np.ndarray, first: np.ndarray, parts: np.ndarray, others: dict[int, tuple[int, int]]):
+    dims = centroids.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vec, unit, dims, times = (batch.column(i) for i in range(4))
-            ids, units, many = np.array(vec.to_pylist(), np.int64), unit.to_pylist(), np.array(times.to_pylist(), np.int64)
-            wide = np.array(dims.to_pylist())
-            cells, at, guest = [], [], []
-            main = np.flatnonzero(wide == centroids.shape[1])
+            key, raw, wide = (batch.column(i).to_pylist() for i in (1, 3, 4))
+            cell = -np.array(wide, np.int64)  # vectors of another length are a cell of their own
+            main = np.flatnonzero(cell == -dims)
             for a in range(0, len(main), 1024):
                 some = main[a : a + 1024]
-                home, guests = _guest_at(np.stack([np.frombuffer(units[i]) for i in some]), centroids, apart, reach)
-                row, cell = np.nonzero(guests)
-                cells += [home, cell]
-                at += [some, some[row]]
-                guest += [np.zeros(len(some), bool), np.ones(len(row), bool)]
-            rest = np.flatnonzero(wide != centroids.shape[1])
-            cells.append(-wide[rest])  # vectors of another length meet in a cell of their own
-            at.append(rest)
-            guest.append(np.zeros(len(rest), bool))
-            at = np.concatenate(at).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cells).astype(np.int64)), pa.array(np.concatenate(guest)), pa.array(ids[at]), pa.array(many[at]), unit.take(pa.array(at))], names=["cell", "guest", "vec_id", "times", "unit"])
+                cell[some] = homes(unit_matrix([raw[i] for i in some], dims), centroids)
+            block = []
+            for c, k in zip(cell.tolist(), key):
+                base, many = (int(first[c]), int(parts[c])) if c >= 0 else others[-c]
+                block.append(base + int.from_bytes(k[:6], "little") % many)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), batch.column(4), pa.array(cell), pa.array(block, pa.int64())], names=["vec_id", "times", "raw", "dims", "cell", "block"])
 
     return run
 
@@ -156,6 +180,8 @@ def block_products(one: np.ndarray, two: np.ndarray, times_one: np.ndarray, time
         np.greater_equal(one[a : a + 256] @ two.T, cosine, out=near[a : a + 256])
     if same:
         np.fill_diagonal(near, False)
+    if not near.any():
+        return np.zeros(len(one), np.int64), np.zeros(len(two), np.int64), []
     count_one = near @ times_two
     count_two = np.zeros(len(two), np.int64) if same else times_one @ near
     ties, n = [], len(one)
@@ -182,55 +208,149 @@ def block_products(one: np.ndarray, two: np.ndarray, times_one: np.ndarray, time
     return count_one, count_two, ties
 
 
-def _multiplier(cosine: float):
+@dataclass
+class Block:
+    """Rows sorted by cell."""
+
+    ids: np.ndarray
+    times: np.ndarray
+    rows: np.ndarray
+    cells: list[tuple[int, int, int]]  # cell, from, to
+
+    @classmethod
+    def read(cls, folder: str, number: int) -> Block | None:
+        import pyarrow.dataset as ds
+        import pyarrow.fs as pafs
+
+        store, base = pafs.FileSystem.from_uri(folder)
+        path = f"{base}/block={number}"
+        if store.get_file_info(path).type == pafs.FileType.NotFound:
+            return None
+        table = ds.dataset(path, filesystem=store, format="parquet").to_table(columns=["vec_id", "times", "raw", "dims", "cell"])
+        cell = table.column("cell").to_numpy()
+        order = np.argsort(cell, kind="stable")
+        rows = unit_matrix(table.column("raw").to_pylist(), table.column("dims")[0].as_py())[order]
+        found, start = np.unique(cell[order], return_index=True)
+        ends = [*start[1:].tolist(), len(cell)]
+        return cls(table.column("vec_id").to_numpy()[order], table.column("times").to_numpy()[order], rows, list(zip(found.tolist(), start.tolist(), ends)))
+
+
+def near_tiles(one: Block, two: Block, same: bool, centroids: np.ndarray, reach: float, rows: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """Positions in either block that have to be multiplied with each other (the last: one part with itself): every linked pair is in exactly one."""
+    main = one.cells[0][0] >= 0 and two.cells[0][0] >= 0
+    if main:
+        to_two = one.rows @ centroids[[c for c, _, _ in two.cells]].T
+        to_one = two.rows @ centroids[[c for c, _, _ in one.cells]].T
+        at_one = {c: k for k, (c, _, _) in enumerate(one.cells)}
+    for k, (c, a, b) in enumerate(one.cells):
+        for m, (d, x, y) in enumerate(two.cells):
+            if c == d:
+                for p in range(a, b, rows):
+                    some = np.arange(p, min(b, p + rows))
+                    if same:
+                        yield some, some, True
+                    for q in range(some[-1] + 1 if same else x, y, 4 * rows):
+                        yield some, np.arange(q, min(y, q + 4 * rows)), False
+                continue
+            if not main or same and m < k:
+                continue
+            # products with the centroids' difference; both are 0 or more, and a linked pair's add up to limit at most
+            limit = reach * float(np.linalg.norm(centroids[c] - centroids[d])) + 1e-9
+            left = one.rows[a:b] @ centroids[c] - to_two[a:b, m]
+            right = two.rows[x:y] @ centroids[d] - to_one[x:y, at_one[c]]
+            here = np.flatnonzero(left <= limit - right.min())
+            there = np.flatnonzero(right <= limit - left.min())
+            if not len(here) or not len(there):
+                continue
+            here, there = here[np.argsort(left[here], kind="stable")], there[np.argsort(right[there], kind="stable")]
+            steps = right[there]
+            for p in range(0, len(here), 256):
+                some = here[p : p + 256]
+                upto = int(np.searchsorted(steps, limit - left[some[0]], "right"))
+                for q in range(0, upto, 4 * rows):
+                    yield some + a, there[q : min(upto, q + 4 * rows)] + x, False
+
+
+def _multiplier(folder: str, centroids: np.ndarray, config: EmbedConfig):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, one, two), (block, ids, times, units) in grouped(batches, 3):
-            block, ids, times = np.array(block), np.array(ids, np.int64), np.array(times, np.int64)
-            rows = np.stack([np.frombuffer(u) for u in units])
-            left, right = np.flatnonzero(block == one), np.flatnonzero(block == two)
-            if not len(left) or not len(right):
+        for batch in batches:
+            for tile in zip(*(c.to_pylist() for c in batch.columns)):
+                yield from multiply(*tile)
+
+    def multiply(low: int, high: int, second: int, last: int) -> Iterator[pa.RecordBatch]:
+        counts: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        ties = []
+        for i in range(low, high):
+            one = Block.read(folder, i)
+            if one is None:
                 continue
-            a, b, ties = block_products(rows[left], rows[right], times[left], times[right], one == two, cosine)
-            order = left if one == two else np.concatenate((left, right))
-            counts = a if one == two else np.concatenate((a, b))
-            some = np.flatnonzero(counts)
-            first = np.concatenate((ids[order[some]], ids[order[[x for x, _ in ties]]] if ties else np.zeros(0, np.int64)))
-            second = [None] * len(some) + [int(ids[order[y]]) for _, y in ties]
-            number = np.concatenate((counts[some], np.zeros(len(ties), np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(first), pa.array(second, pa.int64()), pa.array(number)], names=["a", "b", "n"])
+            for j in range(max(i, second), last):
+                two = one if i == j else Block.read(folder, j)
+                if two is None:
+                    continue
+                for n, block in ((i, one), (j, two)):
+                    counts.setdefault(n, (block.ids, np.zeros(len(block.ids), np.int64)))
+                first, other = [], []
+                for left, right, same in near_tiles(one, two, i == j, centroids, config.reach, config.block):
+                    a, b, found = block_products(one.rows[left], two.rows[right], one.times[left], two.times[right], same, config.cosine)
+                    counts[i][1][left] += a
+                    if not same:
+                        counts[j][1][right] += b
+                    if found:
+                        both = one.ids[left] if same else np.concatenate((one.ids[left], two.ids[right]))
+                        first.append(both[[x for x, _ in found]])
+                        other.append(both[[y for _, y in found]])
+                if first:
+                    ties.append(pa.RecordBatch.from_arrays([pa.array(np.concatenate(first)), pa.array(np.concatenate(other))], names=["a", "b"]))
+                    if sum(t.num_rows for t in ties) > 1_000_000:
+                        ties = list(forest(iter(ties)))
+        for ids, n in counts.values():
+            some = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.nulls(len(some), pa.int64()), pa.array(n[some])], names=["a", "b", "n"])
+        for part in forest(iter(ties)):
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.zeros(part.num_rows, np.int64))], names=["a", "b", "n"])
 
     return run
 
 
+def block_tiles(first: int, last: int, most: int) -> list[tuple[int, int, int, int]]:
+    """Tiles that hold each pair of blocks once, a tile's pairs of lower number first."""
+    step = max(1, (last - first) // most)
+    return [(a, min(last, a + step), b, min(last, b + step)) for a in range(first, last, step) for b in range(a, last, step)]
+
+
 def near_vectors(vectors: DataFrame, config: EmbedConfig | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``vec_id, n_links, component_id, kept``, a row for each row of ``vectors``."""
     config = config or EmbedConfig()
-    own = bounded(vectors).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
-    ready = cut(own.mapInArrow(_prepare, "vec_id long, key binary, unit binary, dims int"))
+    kind = "float" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "double"  # kept as given, which is smaller
+    own = bounded(vectors).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(f"array<{kind}>").alias("v"))
+    known = own.mapInArrow(_prepare, "vec_id long, key binary, raw binary, dims int")
+    ready = cut(known.select("vec_id", "key"))
     valid = ready.where("key is not null and vec_id is not null")
-    classes = cut(valid.groupBy("key").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("times"), F.first("unit").alias("unit"), F.first("dims").alias("dims")))
-    lengths = classes.groupBy("dims").count().orderBy(F.desc("count"), "dims").limit(1).collect()
+    classes = cut(known.where("key is not null and vec_id is not null").groupBy("key").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("times"), F.first("raw").alias("raw"), F.first("dims").alias("dims")))
+    lengths = [(r["dims"], r["count"]) for r in classes.groupBy("dims").count().orderBy(F.desc("count"), "dims").collect()]
     if lengths:
-        dims, n = lengths[0]["dims"], lengths[0]["count"]
-        sample = classes.where(F.col("dims") == dims).orderBy(F.xxhash64("vec_id"), "vec_id").limit(config.sample).select("unit").collect()
-        rows = np.stack([np.frombuffer(r["unit"]) for r in sample])
+        dims, n = lengths[0]
+        sample = classes.where(F.col("dims") == dims).orderBy(F.xxhash64("vec_id"), "vec_id").limit(config.sample).select("raw").collect()
+        rows = unit_matrix([bytes(r["raw"]) for r in sample], dims)
         k = max(1, min(int(config.cells_a_sample * len(rows)), n // config.cell_rows))
-        dealer = _dealer(cells_for(rows, k, config), config.reach)
-        dealt = cut(classes.select("vec_id", "unit", "dims", "times").mapInArrow(dealer, "cell long, guest boolean, vec_id long, times long, unit binary"))
-        sizes = dealt.groupBy("cell").agg(F.ceil(F.count_if(~F.col("guest")) / config.block).cast("int").alias("own"), F.ceil(F.count_if("guest") / config.guest_block).cast("int").alias("guests"))
-        # a row for each cell, a quarter of the sample at most, and each other vector length
-        placed = dealt.join(F.broadcast(sizes), "cell").where("own > 0")
-        number = F.pmod(F.xxhash64("vec_id"), F.when(F.col("guest"), F.col("guests")).otherwise(F.col("own"))).cast("int")
-        block = F.when(F.col("guest"), F.col("own") + number).otherwise(number)
-        other = F.when(F.col("guest"), F.sequence(F.lit(0), F.col("own") - 1)).otherwise(F.sequence(F.lit(0), F.col("own") + F.col("guests") - 1))
-        pairs = (
-            placed.withColumn("block", block)
-            .withColumn("other", F.explode(other))
-            .select("cell", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "vec_id", "times", "unit")
-            .repartition("cell", "one", "two")
-            .sortWithinPartitions("cell", "one", "two")
-        )
-        found = cut(pairs.mapInArrow(_multiplier(config.cosine), "a long, b long, n long"))
+        centroids = cells_for(rows, k, config)
+        # cells' sizes are those of the sample
+        sizes = np.bincount(homes(rows, centroids), minlength=len(centroids)) * (n / len(rows))
+        size = max(1, min(max(4 * config.block, n // config.tiles), config.block_bytes // (8 * dims)))
+        first, parts, blocks = placed(sizes.tolist(), size)
+        tiles, others = block_tiles(0, blocks, config.tiles), {}
+        for wide, many in lengths[1:]:
+            others[wide] = (blocks, math.ceil(many / max(1, min(size, config.block_bytes // (8 * wide)))))
+            tiles += block_tiles(blocks, blocks + others[wide][1], config.tiles)
+            blocks += others[wide][1]
+        spark = vectors.sparkSession
+        folder = fresh_folder(spark, "vector-blocks")
+        dealt = classes.select("vec_id", "key", "times", "raw", "dims").mapInArrow(_dealer(centroids, first, parts, others), "vec_id long, times long, raw binary, dims int, cell long, block long")
+        dealt.repartition("block").write.partitionBy("block").parquet(f"{folder}/blocks")
+        asked = spark.createDataFrame(tiles, "low long, high long, second long, last long").repartition(min(len(tiles), max(24, n // 20_000)))
+        found = cut(asked.mapInArrow(_multiplier(f"{folder}/blocks", centroids, config), "a long, b long, n long"))
+        delete_folder(spark, folder)
     else:
         found = vectors.sparkSession.createDataFrame([], "a long, b long, n long")
     counts = found.where("b is null").groupBy(F.col("a").alias("first")).agg(F.sum("n").alias("n"))

@@ -200,6 +200,49 @@ def test_vectors_that_differ_along_the_spectrum(spark, dims, power, guests):
     assert found == {k: int(n) for k, n in enumerate(expected)}
 
 
+def test_what_vectors_take_on_disk_does_not_grow_with_their_pairs(spark):
+    def written():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return sum(files.apply(k).length() for k in range(files.size()))
+
+    rows = np.random.default_rng(8).standard_normal((3000, 64))
+    rows[2990:] = rows[:10] * 2 + 0.01
+    frame = spark.createDataFrame([(k, v) for k, v in enumerate(rows.tolist())], "vec_id long, embedding array<double>").repartition(3).cache()
+    frame.count()
+    before = written()
+    found = {r["vec_id"]: r["n_links"] for r in embed_dedup.near_vectors(frame, embed_dedup.EmbedConfig(block=32)).collect()}
+    assert found == {k: int(k < 10 or k >= 2990) for k in range(3000)}
+    assert written() - before < 4 * rows.nbytes
+
+
+def test_tiles_hold_each_linked_pair_once():
+    rng = np.random.default_rng(4)
+    first = rng.standard_normal((600, 16))
+    rows = np.concatenate((first, first + 0.07 * rng.standard_normal((600, 16))))
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    centroids = embed_dedup.spherical_kmeans(rows, 40, 4)
+    home = embed_dedup.homes(rows, centroids)
+    blocks = []
+    for k in range(3):
+        own = np.flatnonzero(np.arange(len(rows)) % 3 == k)
+        own = own[np.argsort(home[own], kind="stable")]
+        cells, start = np.unique(home[own], return_index=True)
+        blocks.append(embed_dedup.Block(own, np.ones(len(own), np.int64), rows[own], list(zip(cells.tolist(), start.tolist(), [*start[1:].tolist(), len(own)]))))
+    seen = np.zeros((len(rows), len(rows)), int)
+    for a in range(3):
+        for b in range(a, 3):
+            for left, right, same in embed_dedup.near_tiles(blocks[a], blocks[b], a == b, centroids, embed_dedup.EmbedConfig().reach, 16):
+                x, y = blocks[a].ids[left], blocks[b].ids[right]
+                seen[np.ix_(x, y)] += 1
+                if not same:
+                    seen[np.ix_(y, x)] += 1
+    linked = rows @ rows.T >= 0.95
+    np.fill_diagonal(linked, False)
+    assert linked.sum() > 400 and (seen[linked] == 1).all()
+    np.fill_diagonal(seen, 0)
+    assert seen.max() == 1 and seen.sum() < 0.9 * seen.size
+
+
 def test_vectors_of_odd_rows(spark):
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, []), (6, [float("nan"), 1.0]), (7, [None, 1.0]), (8, [1.0]), (9, [1.0]), (None, [1.0, 0.0]), (10, [float("inf"), 0.0]), (11, [1e-300, 0.0]), (12, [1e200, 1e-5])]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"label": F.lit(1), "key": F.lit("x"), "cell": F.lit(2), "unit": F.lit(3)})
