@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass works on; longer texts make a pass of their own.
 PASS_BYTES = 1 << 20
+#: Bytes of input for which an intermediate table of narrow rows gets a file.
+FILE_BYTES = 64 << 20
 #: Bytes of an Arrow batch between Spark and Python; a longer row makes a batch of its own.
 BATCH_BYTES = 8 << 20
 
@@ -65,6 +67,24 @@ def cut(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
+def few_files(source: DataFrame) -> int:
+    """Files for a table with a narrow row for each row of ``source``: one for each core or each ``FILE_BYTES`` read, not more than a shuffle has partitions."""
+    spark = source.sparkSession
+    read = int(str(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(spark.sparkContext.defaultParallelism, min(most, read // FILE_BYTES))
+
+
+def cut_narrow(frame: DataFrame, files: int, heavy: bool = False) -> DataFrame:
+    """``cut`` of narrow rows into ``files`` files at most.
+
+    On a local file system without Hadoop's native library the JVM starts two ``chmod`` processes for each file that it makes, and
+    each shares all of the JVM's memory until it runs: who then adds up the processes counts the executor twice.
+    ``heavy``: what makes the rows keeps all of its tasks and a shuffle brings them together.
+    """
+    return cut(frame.repartition(files) if heavy else frame.coalesce(files))
+
+
 def bounded(frame: DataFrame) -> DataFrame:
     """The frame; Arrow batches of its session are bounded by bytes, so that a batch of long texts stays small."""
     frame.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))

@@ -8,13 +8,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, cut_narrow
 
 #: A graph of up to this many links (16 bytes each), after tasks have reduced their own to forests, is finished in one task.
 TOGETHER = 1_000_000
 #: A task keeps at most this many nodes at once.
 MOST_NODES = 2_000_000
 
+#: The forests of all tasks are written to this many files for each core.
+FILES_A_CORE = 2
+
 
 def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links that connect what a task's links connect, each node but the least of its part hung on the least."""
@@ -60,7 +63,7 @@ def connected_components(links: DataFrame, a: str, b: str, together: int = TOGET
     Null ends and self-links are ignored; repeated links count once.
     """
     edges = links.select(F.least(a, b).cast("long").alias("a"), F.greatest(a, b).cast("long").alias("b"), F.col(a).isNotNull().alias("x"), F.col(b).isNotNull().alias("y")).where("x and y and a < b").select("a", "b")
-    edges = cut(edges.mapInArrow(forest, "a long, b long"))
+    edges = cut_narrow(edges.mapInArrow(forest, "a long, b long"), FILES_A_CORE * links.sparkSession.sparkContext.defaultParallelism, heavy=True)
     before = _size(edges)
     while before[0] > together:
         # large star: every neighbour above the node goes to the least of node and neighbours

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices, text_of
+from .common import cut, cut_narrow, few_files, slices, text_of
 from .components import connected_components
 from .textkernels import minhashes, shingles, word_hashes, word_spans
 
@@ -226,7 +226,8 @@ def _compared(sets: DataFrame, config: NearDupConfig) -> DataFrame:
 def near_duplicate_links(docs: DataFrame, signed: DataFrame, config: NearDupConfig, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Links ``a, b`` that connect exactly what is linked: copies to their class, classes by verified pairs."""
     named = signed.where("norm is not null and doc_id is not null")
-    classes = cut(named.groupBy("norm").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sign").alias("sign")))
+    files = few_files(docs)
+    classes = cut_narrow(named.groupBy("norm").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sign").alias("sign")), files)
     width = 4 * config.rows
     keys = F.array(*(F.xxhash64(F.lit(b), F.substring("sign", b * width + 1, width)) for b in range(config.bands)))
     banded = classes.select("doc_id", F.explode(keys).alias("bucket"))
@@ -236,7 +237,7 @@ def near_duplicate_links(docs: DataFrame, signed: DataFrame, config: NearDupConf
     members = classes.select(F.col("doc_id").alias("node"), "n_shingles").join(families, "node")
     weight = members.groupBy("component").agg(F.count(F.lit(1)).alias("texts"), F.sum("n_shingles").alias("all"))
     blocks = F.greatest(F.ceil(F.col("texts") / config.block_texts), F.ceil(F.col("all") / config.block_shingles)).cast("int")
-    placed = cut(members.join(weight, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("family"), blocks.alias("blocks")))
+    placed = cut_narrow(members.join(weight, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("family"), blocks.alias("blocks")), files)
     texts = text_of(docs, F.col(id_col).cast("long").alias("doc_id"), text=text_col)
     many, most = placed.agg(F.count(F.lit(1)), F.coalesce(F.max("blocks"), F.lit(0))).first()
     found = texts.join(F.broadcast(placed) if many <= BROADCAST_ROWS else placed, "doc_id").select("doc_id", "family", "blocks", "text")
@@ -253,13 +254,13 @@ def near_duplicate_links(docs: DataFrame, signed: DataFrame, config: NearDupConf
     copies = named.join(classes.select("norm", F.col("doc_id").alias("first")), "norm").where("doc_id > first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
     # written first: a second Python operator in the linker's stage would take a second worker for each core, and executors
     # hand all workers they ever started to later stages in turn, so that each of them comes to hold every stage's tables
-    return cut(links).unionByName(copies)
+    return cut_narrow(links, files, heavy=True).unionByName(copies)
 
 
 def near_duplicates(docs: DataFrame, config: NearDupConfig | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id, kept``, a row for each row of ``docs``."""
     config = config or NearDupConfig()
-    signed = cut(signatures(docs, config, id_col, text_col))
+    signed = cut_narrow(signatures(docs, config, id_col, text_col), few_files(docs), heavy=True)
     links = near_duplicate_links(docs, signed, config, id_col, text_col)
     parts = connected_components(links, "a", "b")
     joined = signed.select("doc_id", "n_shingles").join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left")
@@ -270,6 +271,6 @@ def near_duplicates(docs: DataFrame, config: NearDupConfig | None = None, id_col
 def drop_duplicates(docs: DataFrame, config: NearDupConfig | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without those that aren't the first of their group; rows with a null id stay."""
     found = near_duplicates(docs, config, id_col, text_col)
-    gone = cut(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct())
+    gone = cut_narrow(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), few_files(docs))
     few = gone.count() <= BROADCAST_ROWS
     return docs.join(F.broadcast(gone) if few else gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")

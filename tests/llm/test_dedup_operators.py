@@ -1,12 +1,14 @@
 """Near duplicates, vectors, components and rollups against brute force, and on odd rows."""
 
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import embed_dedup, near_dup, token_ledger
+from ledgerloom.llm.common import shared_folder
 from ledgerloom.llm.components import connected_components
 from ledgerloom.llm.queries import QUERIES
 
@@ -144,6 +146,18 @@ def test_links_and_their_forests_need_one_python_worker_a_core(spark, monkeypatc
     assert len(plans) == 2 and not [p for p in plans if "MapInArrow" in p]
 
 
+def test_intermediate_tables_of_many_tasks_are_few_files(spark):
+    # the JVM starts processes for each file that it makes, and each counts with all of its memory until it runs
+    folder, cores = Path(shared_folder(spark).removeprefix("file:")), spark.sparkContext.defaultParallelism
+    before = set(folder.rglob("rdd-*"))
+    texts = [" ".join(f"w{k % 30}x{j}" for j in range(40)) for k in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(64)
+    kept = [r["doc_id"] for r in near_dup.drop_duplicates(docs).select("doc_id").collect()]
+    assert sorted(kept) == list(range(30))
+    made = [len(list(x.glob("part-*"))) for x in set(folder.rglob("rdd-*")) - before]
+    assert len(made) > 5 and max(made) <= 2 * max(cores, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 # ------------------------------------------------------------------ vectors
 
 
